@@ -50,16 +50,15 @@ def amount_histogram(df: DataFrame, column: str = "amount_paid", bins: int = 30)
         high = low + max(abs(low) * 0.01, 1.0)
     step = (high - low) / bins
     place = F.least(F.floor((F.col(column) - low) / F.lit(step)), F.lit(bins - 1)).cast("int")
-    slot = F.when(F.col(column) > high, bins).otherwise(place)
-    counted = (df.where(F.col(column).isNotNull()).groupBy(slot.alias("bin"))
+    over = df.where(F.col(column) > high).count()
+    counted = (df.where(F.col(column) <= high).groupBy(place.alias("bin"))
                  .agg(F.count("*").alias("n")))
-    over = counted.where(F.col("bin") == bins).agg(F.sum("n").alias("overflow"))
     grid = spark.range(bins).select(F.col("id").cast("int").alias("bin"))
-    return (grid.join(counted, "bin", "left").join(over)
+    return (grid.join(counted, "bin", "left")
             .select("bin", (F.lit(low) + F.col("bin") * F.lit(step)).alias("low"),
                     (F.lit(low) + (F.col("bin") + 1) * F.lit(step)).alias("high"),
                     F.coalesce("n", F.lit(0)).alias("row_count"),
-                    F.coalesce("overflow", F.lit(0)).alias("overflow")))
+                    F.lit(over).cast("long").alias("overflow")))
 
 
 def daily_counts(df: DataFrame) -> DataFrame:
