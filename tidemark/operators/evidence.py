@@ -173,7 +173,7 @@ def narrate(entities: DataFrame) -> DataFrame:
         F.when(~cited, P.NO_CITATION_TEXT)), lambda x: x.isNotNull())
     return (entities.withColumn("evidence_points", points).select(
         "entity_id",
-        F.concat(F.initcap("risk_label"), F.lit(" risk · "), F.initcap(topic),
+        F.concat(F.initcap("risk_label"), F.lit(" risk · "), _title(topic),
                  F.lit(" indicator")).alias("headline"),
         text.alias("explanation"), "evidence_points", advice.alias("recommendation"),
         F.when(cited, F.array("citation")).otherwise(F.array().cast("array<string>"))
@@ -181,6 +181,11 @@ def narrate(entities: DataFrame) -> DataFrame:
         limits.alias("limitations")))
 
 
+def _title(text: Column) -> Column:
+    """Capitalised words, also after a hyphen."""
+    return F.replace(F.initcap(F.replace(text, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
+
+
 def _iso(stamp: Column) -> Column:
     return F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss")
 
