@@ -60,3 +60,8 @@ def transaction_id() -> Column:
 
 def joined(array: Column, sep: str = ",") -> Column:
     return F.array_join(array, sep)
+
+
+def rounded_text(value: Column, pattern: str) -> Column:
+    """Decimal pattern text; halves go to the even digit."""
+    return F.call_function("format_number", value, F.lit(pattern))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark import policy as P
-from tidemark.functions.columns import joined, number
+from tidemark.functions.columns import joined, number, rounded_text
 
 
 def best_rows(scored: DataFrame, row_key: str, floor: float | None = 0.35) -> DataFrame:
@@ -76,7 +76,7 @@ def add_explanations(df: DataFrame) -> DataFrame:
     """Template explanation, report sentence and citation of resolved rows."""
     label = F.when(F.col("typology_label") == "", P.UNCLASSIFIED_LABEL) \
              .otherwise(F.col("typology_label"))
-    risk = F.format_number("risk_score", "0.0000")
+    risk = rounded_text(F.col("risk_score"), "0.0000")
     flags = (F.when(F.size("rule_flags") > 0, F.array_join("rule_flags", ", "))
               .otherwise("none")) if "rule_flags" in df.columns else F.lit("none")
     who = F.col("from_account")
@@ -161,7 +161,7 @@ def narrate(entities: DataFrame) -> DataFrame:
     points = F.when(F.size(points) > 0, points).otherwise(F.array(F.lit(P.NO_METRICS_TEXT)))
     text = F.concat(
         F.lit("Entity "), "entity_id", F.lit(" is classified "), "risk_label", F.lit(" risk ("),
-        F.format_number(F.col("risk_score") * 100, "0"), F.lit("%) for potential "), topic,
+        rounded_text(F.col("risk_score") * 100, "0"), F.lit("%) for potential "), topic,
         F.lit(". "), F.array_join("evidence_points", " "), F.lit(" " + P.INDICATOR_TEXT))
     # --- end of fixed values ---
     advice = F.lit(P.ACTION_TEXT_DEFAULT)

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.columns import band, high_risk_country, number
+from tidemark.functions.columns import band, high_risk_country, number, rounded_text
 from tidemark.policy import PEP_FLAGS, EntityRiskPolicy, RowRiskPolicy
 from tidemark.schema import require_columns
 
@@ -121,7 +121,7 @@ def decide_entities(merged: DataFrame, policy: EntityRiskPolicy = EntityRiskPoli
     boosted = F.when(F.col("country_boost") > 0,
                      F.lit(f" A {policy.boost:.2f} jurisdiction boost was applied.")).otherwise("")
     reason = F.concat(F.lit("Risk is "), "risk_label", F.lit(" ("),
-                      F.format_number("risk_score", "0.00"),
+                      rounded_text(F.col("risk_score"), "0.00"),
                       F.lit(") based on selected detector evidence: "), named, F.lit("."), boosted)
     return (df.withColumn("policy_version", F.lit(policy.version))
               .withColumn("rationale", reason)

@@ -145,9 +145,13 @@ def notes_page(actions: DataFrame, alert: str, *, limit: int = 100, offset: int
 
 
 def queue_view(alerts: DataFrame, as_of: datetime | Column, digits: int = 2) -> DataFrame:
-    """Add the age in hours at ``as_of`` and whether the service level is missed."""
+    """Add the age in hours at ``as_of`` and whether the service level is missed.
+
+    Both instants count by their whole second.
+    """
     now = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    seconds = F.timestamp_diff("SECOND", F.col("created_at"), now)
+    seconds = (F.unix_seconds(now.cast("timestamp"))
+               - F.unix_seconds(F.col("created_at").cast("timestamp")))
     age = F.greatest(F.lit(0), seconds) / 3600.0
     return (alerts.withColumn("age_hours", F.round(age, digits))
                   .withColumn("sla_breached", (age > F.col("sla_hours"))

@@ -73,12 +73,11 @@ def score_transactions(df: DataFrame, spec: InvestigationSpec) -> DataFrame:
     """Filter, add only the features the steps need, run the detectors, fuse and escalate."""
     rows = filters.load_transactions(df, spec.filters)
     steps = spec.steps
-    patterns = [spec.pattern] if spec.pattern else (
-        [] if spec.kind == "broad_eda" else None)
+    patterns = [spec.pattern] if spec.pattern else None
     scored = features_for(rows, patterns, with_model_features="ml_engine" in steps,
                           row_key=spec.row_key)
     if "rule_engine" in steps:
-        scored = rules.apply_rules(scored, [spec.pattern] if spec.pattern else None)
+        scored = rules.apply_rules(scored, patterns)
     scored = stats.add_statistics(scored, spec.iqr)
     if "ml_engine" in steps:
         scored = score_forest(scored, spec.forest)
