@@ -9,21 +9,23 @@ from tidemark.operators.filters import in_risk_band
 
 
 def legs(df: DataFrame, search: str | None = None) -> DataFrame:
-    """Each transfer once per side; Catalyst pushes the search into both branches."""
-    out = df.where(F.col("from_account").isNotNull()).select(
-        F.col("from_account").alias("account_id"), F.col("from_bank").alias("bank"),
-        "timestamp", F.col("amount_paid").alias("amount"),
-        F.col("to_account").alias("counterparty"), F.lit(True).alias("outbound"),
-        *[c for c in ("payment_format", "is_laundering") if c in df.columns])
-    into = df.where(F.col("to_account").isNotNull()).select(
-        F.col("to_account").alias("account_id"), F.col("to_bank").alias("bank"),
-        "timestamp", F.col("amount_received").alias("amount"),
-        F.col("from_account").alias("counterparty"), F.lit(False).alias("outbound"),
-        *[c for c in ("payment_format", "is_laundering") if c in df.columns])
-    both = out.unionByName(into)
+    """Each transfer once per side, from one scan of the transfers."""
     if search:
-        both = both.where(F.contains(F.lower("account_id"), F.lit(search.lower())))
-    return both
+        wanted = search.lower()
+        df = df.where(F.contains(F.lower("from_account"), F.lit(wanted))
+                      | F.contains(F.lower("to_account"), F.lit(wanted)))
+
+    def side(account: str, bank: str, amount: str, other: str, outbound: bool):
+        return F.struct(F.col(account).alias("account_id"), F.col(bank).alias("bank"),
+                        F.col(amount).alias("amount"), F.col(other).alias("counterparty"),
+                        F.lit(outbound).alias("outbound"))
+
+    both = (df.select("timestamp", F.explode(F.array(
+                side("from_account", "from_bank", "amount_paid", "to_account", True),
+                side("to_account", "to_bank", "amount_received", "from_account", False)))
+                .alias("leg"))
+              .select("timestamp", "leg.*").where(F.col("account_id").isNotNull()))
+    return both.where(F.contains(F.lower("account_id"), F.lit(wanted))) if search else both
 
 
 def alert_totals(alerts: DataFrame) -> DataFrame:
@@ -36,25 +38,31 @@ def activity(df: DataFrame, alerts: DataFrame | None = None,
              search: str | None = None) -> DataFrame:
     """One row per account: both directions, counterparties, first and last seen, alerts.
 
-    Rows fold to (account, counterparty) first, so a busy account reaches the second
-    aggregation already reduced to its partners.
+    Sums fold per (account, bank) first and partners per (account, counterparty), both by
+    hash on the map side: a busy account reaches the shuffle already small, and the text
+    minimum is taken over banks rather than rows.
     """
     out = F.col("outbound")
-    pairs = legs(df, search).groupBy("account_id", "counterparty").agg(
-        F.min("bank").alias("bank"),
+    sides = legs(df, search)
+    per_bank = sides.groupBy("account_id", "bank").agg(
         F.count_if(out).alias("n_out"), F.count_if(~out).alias("n_in"),
         F.sum(F.when(out, F.col("amount"))).alias("sent"),
         F.sum(F.when(~out, F.col("amount"))).alias("received"),
         F.max("amount").alias("biggest"),
         F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
-    found = pairs.groupBy("account_id").agg(
+    sums = per_bank.groupBy("account_id").agg(
         F.min("bank").alias("primary_bank"),
         F.sum("n_out").alias("outbound_count"), F.sum("n_in").alias("inbound_count"),
         F.coalesce(F.sum("sent"), F.lit(0.0)).alias("total_sent"),
         F.coalesce(F.sum("received"), F.lit(0.0)).alias("total_received"),
         F.max("biggest").alias("max_transaction"),
-        F.count_if(F.col("counterparty") != F.col("account_id")).alias("distinct_counterparties"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    partners = (sides.where(F.col("counterparty") != F.col("account_id"))
+                     .select("account_id", "counterparty").distinct()
+                     .groupBy("account_id").agg(F.count("*").alias("partners")))
+    found = (sums.join(partners, "account_id", "left")
+                 .withColumn("distinct_counterparties", F.coalesce("partners", F.lit(0)))
+                 .drop("partners"))
     if alerts is None:
         return (found.withColumn("alert_count", F.lit(0).cast("long"))
                      .withColumn("max_risk", F.lit(None).cast("double"))
