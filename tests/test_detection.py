@@ -142,3 +142,11 @@ def test_policy_is_checked():
         EntityRiskPolicy(medium=.8, high=.7)
     with pytest.raises(ValueError):
         EntityRiskPolicy(weights={})
+
+
+def test_custom_scores_are_checked(spark):
+    good = spark.createDataFrame([(0.0,), (1.0,)], "s double")
+    assert risk.require_scores(good, "s").count() == 2
+    for bad in (1.1, -0.1, float("nan"), float("inf"), None):
+        with pytest.raises(Exception, match="between 0 and 1"):
+            risk.require_scores(spark.createDataFrame([(bad,)], "s double"), "s").collect()

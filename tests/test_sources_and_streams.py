@@ -143,10 +143,25 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "j")).count() == 3
     events = spark.createDataFrame([("e1", datetime(2024, 1, 1, 5)), ("e2", datetime(2024, 1, 9))],
                                    "event_id string, created_at timestamp")
+    events = events.withColumns({c: F.lit("x") for c in sinks.AUDIT_FIELDS if c not in events.columns})
     sinks.export_audit(events, str(tmp_path / "a"), date(2024, 1, 1), date(2024, 1, 2))
     assert [r.event_id for r in spark.read.csv(str(tmp_path / "a"), header=True).collect()] == ["e1"]
 
 
+def test_entity_export(spark):
+    df = spark.createDataFrame(
+        [("E1", .9, "high", "report", "Fan_In", 2, 5.0, "text", "cite", ["a", "b"],
+          (datetime(2024, 1, 1), datetime(2024, 1, 2)))],
+        "entity_id string, risk_score double, risk_label string, escalation_action string, "
+        "typology_label string, txn_count long, total_amount double, explanation string, citation string, "
+        "rule_flags array<string>, observation_window struct<start: timestamp, end: timestamp>")
+    assert sinks.entity_export(df).columns == sinks.ENTITY_FIELDS
+    row = sinks.entity_export(df, full=True).first()
+    assert row.rule_flags == "a|b"
+    assert row.observation_window == "2024-01-01T00:00:00|2024-01-02T00:00:00"
+    assert sinks.entity_export(df.limit(0)).columns == sinks.ENTITY_FIELDS
+
+
 def test_arriving_files_load_once(spark, tmp_path):
     box = tmp_path / "box"
     box.mkdir()

@@ -105,7 +105,9 @@ def top_counterparties(df: DataFrame, k: int = 12) -> DataFrame:
     totals = (legs(df).where(F.col("counterparty") != F.col("account_id"))
               .groupBy("account_id", "counterparty",
                        F.when(F.col("outbound"), "outbound").otherwise("inbound").alias("direction"))
-              .agg(F.count("*").alias("txn_count"), F.sum("amount").alias("total_amount")))
+              # Cents, so that equal totals tie whatever order they were added in.
+              .agg(F.count("*").alias("txn_count"),
+                   F.round(F.sum("amount"), 2).alias("total_amount")))
     rank = Window.partitionBy("account_id").orderBy(
         F.col("total_amount").desc_nulls_last(), "counterparty", "direction")
     return totals.withColumn("position", F.row_number().over(rank)).where(F.col("position") <= k)

@@ -27,6 +27,14 @@ def feature_matrix(df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataF
     return df.withColumns(cleaned)
 
 
+def normal_baseline(knowledge: DataFrame) -> DataFrame:
+    """Unlabelled calibration rows, shaped for feature engineering."""
+    rows = knowledge.where(F.col("is_laundering") == 0)
+    if "amount_paid" not in rows.columns:
+        rows = rows.withColumnRenamed("amount", "amount_paid")
+    return rows.drop("is_laundering", "laundering_type")
+
+
 def _mean_depth(n: np.ndarray | float) -> np.ndarray:
     """Average path of an unsuccessful search among n points."""
     n = np.asarray(n, dtype=float)

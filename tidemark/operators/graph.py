@@ -98,7 +98,8 @@ def top_bipartite(edges: DataFrame, max_results: int = 100,
 
 def _with_middle(best: DataFrame, a_side: DataFrame, b_side: DataFrame, a: str, b: str,
                  name: str, k: int) -> DataFrame:
-    keys = best.select(a, b)
+    # At most max_results pairs, so a broadcast of known size.
+    keys = F.broadcast(best.select(a, b))
     shared = keys.join(a_side, a).join(b_side, [b, "m"])
     rank = Window.partitionBy(a, b).orderBy("m")
     listed = (shared.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)

@@ -68,25 +68,35 @@ def idf_search(docs: DataFrame, queries: DataFrame, k: int = 2, *,
         (F.lower("typology") if has_type else F.lit(None).cast("string")).alias("typology"))
     n = docs.count()
     asked = q.select("query_id", F.explode("toks").alias("token"))
-    body = F.concat_ws(" ", "text", F.array_join("typologies", " ")) \
-        if "typologies" in docs.columns else F.col("text")
-    hits = (docs.select("doc_id", F.explode(F.array_distinct(tokens(body))).alias("token"))
+    tagged = has_type and "typologies" in docs.columns
+    body = F.concat_ws(" ", "text", F.array_join("typologies", " ")) if tagged else F.col("text")
+    tags = F.col("typologies") if tagged else F.array().cast("array<string>")
+    hits = (docs.select("doc_id", tags.alias("tags"),
+                        F.explode(F.array_distinct(tokens(body))).alias("token"))
                 .join(asked.select("token").distinct(), "token", "left_semi"))
     known = hits.groupBy("token").agg(F.count("*").alias("df"))
-    weights = asked.join(known, "token").select(
-        "query_id", "token", (F.ln(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("w"))
-    parts = hits.join(weights, "token").select("query_id", "doc_id", "w")
-    if has_type and "typologies" in docs.columns:
-        tagged = docs.select("doc_id", F.explode(F.array_distinct("typologies")).alias("typology"))
-        parts = parts.unionByName(
-            tagged.join(q.where(F.size("toks") > 0).select("query_id", "typology"), "typology")
-                  .select("query_id", "doc_id", F.lit(typology_bonus).alias("w")))
-    scored = (parts.groupBy("query_id", "doc_id").agg(F.sum("w").alias("raw"))
-                   .join(q.select("query_id", F.size("toks").alias("n_tokens")), "query_id")
-                   .where(F.col("raw") > 0)
-                   .select("query_id", "doc_id", F.round(F.least(
-                       F.lit(1.0), F.col("raw") / (F.col("n_tokens") + typology_bonus)), 6)
-                       .alias("score")))
+    weights = (asked.join(known, "token").join(q.select("query_id", "typology"), "query_id")
+                    .select("query_id", "typology", "token",
+                            (F.ln(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("w")))
+    matches = F.coalesce(F.array_contains("tags", F.col("typology")), F.lit(False))
+    raw = (hits.join(weights, "token").groupBy("query_id", "doc_id")
+               .agg((F.sum("w") + F.when(F.bool_or(matches), typology_bonus).otherwise(0.0))
+                    .alias("raw")))
+    if tagged:
+        # Documents with the right typology but no shared token all score the bonus alone and
+        # rank by id, so only the first k of a typology can be among a query's best k.
+        each = docs.select("doc_id", F.explode(F.array_distinct("typologies")).alias("typology"))
+        rank = Window.partitionBy("typology").orderBy("doc_id")
+        first = each.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
+        raw = (raw.unionByName(
+                   first.join(q.where(F.size("toks") > 0).select("query_id", "typology"), "typology")
+                        .select("query_id", "doc_id", F.lit(typology_bonus).alias("raw")))
+                  .groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw")))
+    scored = (raw.join(q.select("query_id", F.size("toks").alias("n_tokens")), "query_id")
+                 .where(F.col("raw") > 0)
+                 .select("query_id", "doc_id", F.round(F.least(
+                     F.lit(1.0), F.col("raw") / (F.col("n_tokens") + typology_bonus)), 6)
+                     .alias("score")))
     return _best(scored, k)
 
 

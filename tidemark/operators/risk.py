@@ -69,6 +69,14 @@ def recommend(df: DataFrame, policy: RowRiskPolicy = RowRiskPolicy()) -> DataFra
                          escalation_action(F.col("risk_score"), flags, policy))
 
 
+def require_scores(df: DataFrame, column: str) -> DataFrame:
+    """Rows with a custom detector's score, failing on one that is not finite in 0..1."""
+    value = F.col(column).cast("double")
+    good = F.coalesce((value >= 0) & (value <= 1), F.lit(False))
+    return df.withColumn(column, F.when(good, value).otherwise(F.raise_error(
+        F.lit(f"{column} must be finite and between 0 and 1"))))
+
+
 SIGNAL_COLUMNS = ["entity_id", "detector", "score", "flags", "high_risk_country"]
 
 

@@ -488,10 +488,7 @@ def known_positive_counts(spark, sf):
           SELECT to_account, from_account, 'inbound', amount_received FROM txn) l
     WHERE account_id <> counterparty GROUP BY 1, 2, 3) g) q WHERE rn <= 12""")
 def counterparty_top12(spark, sf):
-    # Cents first, so that equal totals tie in the same way whatever the order of addition.
-    t = views.txn(spark, sf)
-    return customers.top_counterparties(t).select(
-        "account_id", "counterparty", "direction", "txn_count", r("total_amount", 2), "position")
+    return customers.top_counterparties(views.txn(spark, sf))
 
 
 @query("account_currencies", O.with_(views.TXN_CTE) + """SELECT from_account AS account_id,

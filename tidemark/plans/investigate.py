@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from tidemark.operators import aggregate, evidence, filters, graph, profile, rules, stats
+from tidemark.operators import aggregate, drift, evidence, filters, graph, profile, rules, stats
 from tidemark.operators.features import features_for
 from tidemark.operators.filters import TransactionFilter
 from tidemark.operators.forest import Forest, score_forest
@@ -65,7 +65,7 @@ def shared(df: DataFrame) -> DataFrame:
     else it stays in executor storage and is recomputed from its source where lost.
     """
     if checkpoint_dir(df.sparkSession):
-        return df.checkpoint(eager=False)
+        return df.checkpoint()
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
@@ -111,3 +111,10 @@ def investigate(df: DataFrame, spec: InvestigationSpec) -> dict[str, DataFrame]:
                     "hours": profile.weekday_hour_grid(rows),
                     "missing": profile.missing_counts(rows)})
     return out
+
+
+def drift_job(baseline: DataFrame, current: DataFrame, row_key: str | None = None) -> DataFrame:
+    """Model features of both transaction sets, compared."""
+    sides = [shared(features_for(df, [], with_model_features=True, row_key=row_key))
+             for df in (baseline, current)]
+    return drift.drift_report(*sides)

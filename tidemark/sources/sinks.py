@@ -37,6 +37,28 @@ def export_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+# --- fixed values: columns of the entity and audit exports ----------------------------
+ENTITY_FIELDS = ["entity_id", "risk_score", "risk_label", "escalation_action",
+                 "saml_d_typology", "txn_count", "total_amount", "explanation", "citation"]
+AUDIT_FIELDS = ["event_id", "event_type", "actor", "investigation_id", "alert_id", "payload",
+                "risk_policy_version", "model_version", "dataset_snapshot", "created_at"]
+# --- end of fixed values --------------------------------------------------------------
+
+
+def entity_export(entities: DataFrame, *, full: bool = False) -> DataFrame:
+    """Export columns of flagged entities: the nine fixed ones, or everything flattened."""
+    named = entities.withColumnRenamed("typology_label", "saml_d_typology")
+    if not full:
+        return named.select(*ENTITY_FIELDS)
+    window = F.concat_ws("|", *[F.date_format(f"observation_window.{side}", "yyyy-MM-dd'T'HH:mm:ss")
+                                for side in ("start", "end")])
+    return flat_columns(named.withColumn("observation_window", window))
+
+
+def export_entities(entities: DataFrame, path: str, *, full: bool = False) -> None:
+    export_csv(entity_export(entities, full=full), path)
+
+
 def export_audit(events: DataFrame, path: str, start: date | None = None,
                  end: date | None = None) -> None:
     """Audit rows created in the closed date range."""
@@ -45,4 +67,4 @@ def export_audit(events: DataFrame, path: str, start: date | None = None,
         events = events.where(day >= F.lit(start))
     if end:
         events = events.where(day <= F.lit(end))
-    export_csv(events, path)
+    export_csv(events.select(*AUDIT_FIELDS), path)
