@@ -14,7 +14,8 @@ def spark(tmp_path_factory):
     session = build_session("tests", "local[4]", **{
         "spark.sql.shuffle.partitions": "4", "spark.ui.enabled": "false",
         "spark.driver.memory": "6g", "spark.ui.showConsoleProgress": "false",
-        "spark.sql.warehouse.dir": str(home / "warehouse")})
+        "spark.sql.warehouse.dir": str(home / "warehouse"),
+        "spark.checkpoint.dir": str(home / "checkpoints")})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

@@ -91,15 +91,18 @@ def small_bank(spark):
 def test_customers(spark, small_bank):
     alerts = spark.createDataFrame([("ACC-001", .82, "new")], "entity_id string, risk_score double, status string")
     people = customers.activity(small_bank, alerts)
-    assert [r.account_id for r in customers.customer_page(people, band="high").collect()] == ["ACC-001"]
+    assert [r.account_id for r in customers.customer_page(small_bank, alerts, band="high").collect()] == ["ACC-001"]
     row = by_id(people, "account_id")["ACC-001"]
     assert (row.outbound_count, row.inbound_count, row.total_sent, row.total_received) == (1, 1, 9500.0, 2000.0)
     assert row.distinct_counterparties == 2 and row.open_alert_count == 1 and row.primary_bank == "B1"
-    bare = customers.activity(small_bank)
-    assert customers.customer_page(bare, band="unscored").count() == 3
+    assert customers.customer_page(small_bank, band="unscored").count() == 3
+    page = customers.customer_page(small_bank, alerts)
+    assert [r.account_id for r in page.collect()][0] == "ACC-001"
+    assert sorted(map(str, page.select(people.columns).collect())) == sorted(map(str, people.collect()))
+    assert [r.account_id for r in customers.customer_page(small_bank, alerts, offset=2).collect()] == ["ACC-003"]
     assert [r.account_id for r in customers.activity(small_bank, search="c-002").collect()] == ["ACC-002"]
     with pytest.raises(ValueError):
-        customers.customer_page(bare, band="odd")
+        customers.customer_page(small_bank, band="odd")
 
 
 def test_customer_profile(small_bank):

@@ -245,3 +245,13 @@ def test_audit(spark, alerts):
     newest = workflow.audit_page(events, limit=1).first()
     assert newest.event_type == "note_added" and newest.payload == '{"note_length":5}'
     assert events.select("event_id").distinct().count() == 6
+
+
+def test_shared_frames_are_checkpointed_where_the_cluster_says_so(spark):
+    from tidemark.plans.investigate import shared
+    from tidemark.session import checkpoint_dir
+
+    assert checkpoint_dir(spark)
+    df = shared(spark.range(10).withColumn("x", F.col("id") * 2))
+    assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.agg(F.sum("x")).first()[0] == 90

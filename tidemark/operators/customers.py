@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.filters import in_risk_band
@@ -11,9 +11,7 @@ from tidemark.operators.filters import in_risk_band
 def legs(df: DataFrame, search: str | None = None) -> DataFrame:
     """Each transfer once per side, from one scan of the transfers."""
     if search:
-        wanted = search.lower()
-        df = df.where(F.contains(F.lower("from_account"), F.lit(wanted))
-                      | F.contains(F.lower("to_account"), F.lit(wanted)))
+        df = _touching(df, search)
 
     def side(account: str, bank: str, amount: str, other: str, outbound: bool):
         return F.struct(F.col(account).alias("account_id"), F.col(bank).alias("bank"),
@@ -25,7 +23,15 @@ def legs(df: DataFrame, search: str | None = None) -> DataFrame:
                 side("to_account", "to_bank", "amount_received", "from_account", False)))
                 .alias("leg"))
               .select("timestamp", "leg.*").where(F.col("account_id").isNotNull()))
-    return both.where(F.contains(F.lower("account_id"), F.lit(wanted))) if search else both
+    return both.where(_named("account_id", search)) if search else both
+
+
+def _named(column: str, search: str) -> Column:
+    return F.contains(F.lower(column), F.lit(search.lower()))
+
+
+def _touching(df: DataFrame, search: str) -> DataFrame:
+    return df.where(_named("from_account", search) | _named("to_account", search))
 
 
 def alert_totals(alerts: DataFrame) -> DataFrame:
@@ -38,31 +44,45 @@ def activity(df: DataFrame, alerts: DataFrame | None = None,
              search: str | None = None) -> DataFrame:
     """One row per account: both directions, counterparties, first and last seen, alerts.
 
-    Sums fold per (account, bank) first and partners per (account, counterparty), both by
-    hash on the map side: a busy account reaches the shuffle already small, and the text
-    minimum is taken over banks rather than rows.
+    Sums fold per (account, bank) first, by hash on the map side: a busy account reaches the
+    shuffle already small, and the text minimum is taken over banks rather than rows.
+    Partners come from distinct unordered pairs, each of which is one partner to either end.
     """
+    per_bank = _sums(legs(df, search).groupBy("account_id", "bank"))
+    sums = _merged(per_bank.groupBy("account_id"))
+    paired = _touching(df, search) if search else df
+    pairs = (paired.where(F.col("from_account") != F.col("to_account"))
+               .select(F.least("from_account", "to_account").alias("a"),
+                       F.greatest("from_account", "to_account").alias("b")).distinct())
+    partners = (pairs.select(F.explode(F.array("a", "b")).alias("account_id"))
+                     .groupBy("account_id").agg(F.count("*").alias("partners")))
+    found = (sums.join(partners, "account_id", "left")
+                 .withColumn("distinct_counterparties", F.coalesce("partners", F.lit(0)))
+                 .drop("partners"))
+    return _with_alerts(found, alerts)
+
+
+def _sums(grouped) -> DataFrame:
     out = F.col("outbound")
-    sides = legs(df, search)
-    per_bank = sides.groupBy("account_id", "bank").agg(
+    return grouped.agg(
         F.count_if(out).alias("n_out"), F.count_if(~out).alias("n_in"),
         F.sum(F.when(out, F.col("amount"))).alias("sent"),
         F.sum(F.when(~out, F.col("amount"))).alias("received"),
         F.max("amount").alias("biggest"),
-        F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"))
-    sums = per_bank.groupBy("account_id").agg(
+        F.min("timestamp").alias("first"), F.max("timestamp").alias("last"))
+
+
+def _merged(grouped, *extra) -> DataFrame:
+    return grouped.agg(
         F.min("bank").alias("primary_bank"),
         F.sum("n_out").alias("outbound_count"), F.sum("n_in").alias("inbound_count"),
         F.coalesce(F.sum("sent"), F.lit(0.0)).alias("total_sent"),
         F.coalesce(F.sum("received"), F.lit(0.0)).alias("total_received"),
         F.max("biggest").alias("max_transaction"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    partners = (sides.where(F.col("counterparty") != F.col("account_id"))
-                     .select("account_id", "counterparty").distinct()
-                     .groupBy("account_id").agg(F.count("*").alias("partners")))
-    found = (sums.join(partners, "account_id", "left")
-                 .withColumn("distinct_counterparties", F.coalesce("partners", F.lit(0)))
-                 .drop("partners"))
+        F.min("first").alias("first_seen"), F.max("last").alias("last_seen"), *extra)
+
+
+def _with_alerts(found: DataFrame, alerts: DataFrame | None) -> DataFrame:
     if alerts is None:
         return (found.withColumn("alert_count", F.lit(0).cast("long"))
                      .withColumn("max_risk", F.lit(None).cast("double"))
@@ -73,12 +93,33 @@ def activity(df: DataFrame, alerts: DataFrame | None = None,
                  .withColumn("open_alert_count", F.coalesce("open_alert_count", F.lit(0))))
 
 
-def customer_page(customers: DataFrame, *, band: str | None = None, limit: int = 50,
-                  offset: int = 0) -> DataFrame:
-    busy = F.col("outbound_count") + F.col("inbound_count")
-    return (in_risk_band(customers, band)
-            .orderBy(F.col("max_risk").desc_nulls_last(), busy.desc(), "account_id")
-            .offset(offset).limit(limit))
+def customer_page(df: DataFrame, alerts: DataFrame | None = None, *, search: str | None = None,
+                  band: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of customers: highest risk first, then most active.
+
+    The order only needs counts, so accounts are ranked on those and the full summary is
+    taken for the page's own rows: the transfers meet at most ``limit`` broadcast accounts.
+    """
+    if not 1 <= limit <= 1_000 or offset < 0:
+        raise ValueError("limit must be 1..1000 and offset not negative")
+    ends = df.select(F.explode(F.array("from_account", "to_account")).alias("account_id")) \
+             .where(F.col("account_id").isNotNull())
+    if search:
+        ends = ends.where(_named("account_id", search))
+    counts = ends.groupBy("account_id").agg(F.count("*").alias("_busy"))
+    order = (F.col("max_risk").desc_nulls_last(), F.col("_busy").desc(), F.col("account_id"))
+    page = (in_risk_band(_with_alerts(counts, alerts), band)
+            .orderBy(*order).offset(offset).limit(limit))
+    kept = [c for c in page.columns if c != "account_id"]
+    rows = legs(df).join(F.broadcast(page), "account_id")
+    per_partner = (_sums(rows.groupBy("account_id", *kept, "counterparty", "bank"))
+                   .groupBy("account_id", *kept, "counterparty")
+                   .agg(F.min("bank").alias("bank"), *[F.sum(c).alias(c) for c in (
+                       "n_out", "n_in", "sent", "received")], F.max("biggest").alias("biggest"),
+                        F.min("first").alias("first"), F.max("last").alias("last")))
+    other = F.count_if(F.col("counterparty") != F.col("account_id"))
+    return (_merged(per_partner.groupBy("account_id", *kept), other.alias("distinct_counterparties"))
+            .orderBy(*order).drop("_busy"))
 
 
 def payment_mix(df: DataFrame) -> DataFrame:

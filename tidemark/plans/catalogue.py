@@ -146,16 +146,16 @@ _ACTIVITY = """legs AS (
 activity AS (
   SELECT account_id, min(bank) AS primary_bank, CAST(sum(o) AS BIGINT) AS outbound_count,
     CAST(sum(1 - o) AS BIGINT) AS inbound_count,
-    round(coalesce(sum(amount) FILTER (WHERE o = 1), 0), 2) AS total_sent,
-    round(coalesce(sum(amount) FILTER (WHERE o = 0), 0), 2) AS total_received,
+    round(coalesce(sum(amount) FILTER (WHERE o = 1), 0), 4) AS total_sent,
+    round(coalesce(sum(amount) FILTER (WHERE o = 0), 0), 4) AS total_received,
     max(amount) AS max_transaction,
     count(DISTINCT counterparty) FILTER (WHERE counterparty <> account_id) AS distinct_counterparties,
     min(timestamp) AS first_seen, max(timestamp) AS last_seen FROM legs GROUP BY account_id)"""
 
 
 def _act() -> list:
-    return ["account_id", "primary_bank", "outbound_count", "inbound_count", r("total_sent", 2),
-            r("total_received", 2), "max_transaction", "distinct_counterparties", "first_seen",
+    return ["account_id", "primary_bank", "outbound_count", "inbound_count", r("total_sent", 4),
+            r("total_received", 4), "max_transaction", "distinct_counterparties", "first_seen",
             "last_seen"]
 
 
@@ -168,25 +168,24 @@ def account_search(spark, sf):
 _ALERTS_BY = """al AS (SELECT entity_id AS account_id, count(*) AS alert_count,
     max(risk_score) AS max_risk, count(*) FILTER (WHERE status <> 'closed') AS open_alert_count
   FROM folded GROUP BY entity_id),
-cust AS (SELECT c.*, coalesce(alert_count, 0) AS alert_count, round(max_risk, 6) AS max_risk,
+cust AS (SELECT c.*, coalesce(alert_count, 0) AS alert_count, max_risk,
     coalesce(open_alert_count, 0) AS open_alert_count
   FROM activity c LEFT JOIN al USING (account_id))"""
 _CUST = [*O.QUEUE, _ACTIVITY.format(source="txn"), _ALERTS_BY]
 
 
 @query("risk_band_filter", O.with_(*_CUST)
-       + "SELECT account_id, alert_count, max_risk FROM cust WHERE max_risk >= 0.35 AND max_risk < 0.70")
+       + "SELECT account_id, alert_count, round(max_risk, 6) AS max_risk FROM cust WHERE cust.max_risk >= 0.35 AND cust.max_risk < 0.70")
 def risk_band_filter(spark, sf):
     people = customers.activity(views.txn(spark, sf), queue(spark, sf))
     return filters.in_risk_band(people, "medium").select("account_id", "alert_count", r("max_risk"))
 
 
-@query("customer_page", O.with_(*_CUST) + """SELECT * FROM cust
-  ORDER BY max_risk DESC NULLS LAST, outbound_count + inbound_count DESC, account_id LIMIT 50""")
+@query("customer_page", O.with_(*_CUST) + """SELECT * REPLACE (round(max_risk, 6) AS max_risk) FROM cust
+  ORDER BY cust.max_risk DESC NULLS LAST, outbound_count + inbound_count DESC, account_id LIMIT 50""")
 def customer_page(spark, sf):
-    people = customers.activity(views.txn(spark, sf), queue(spark, sf))
-    return customers.customer_page(people.withColumn("max_risk", F.round("max_risk", 6))).select(
-        *_act(), "alert_count", "max_risk", "open_alert_count")
+    return customers.customer_page(views.txn(spark, sf), queue(spark, sf)).select(
+        *_act(), "alert_count", r("max_risk"), "open_alert_count")
 
 
 @query("ledger_customers", O.with_(views.LEDGER_CTE, _ACTIVITY.format(source="ledger"))
@@ -807,7 +806,7 @@ def alert_notes(spark, sf):
     return workflow.alert_notes(actions(spark, sf))
 
 
-_AGE = f"""round(greatest(0, date_diff('second', created_at, TIMESTAMP '{AS_OF}')) / 3600.0::DOUBLE, 2)"""
+_AGE = f"""round(greatest(0, date_diff('second', created_at, TIMESTAMP '{AS_OF}')) / 3600.0::DOUBLE, 6)"""
 
 
 @query("queue_ranked", O.with_(*O.QUEUE) + f"""SELECT alert_id, entity_id, round(risk_score, 6) AS risk_score, status,
@@ -830,7 +829,7 @@ def queue_governed_page(spark, sf):
   (greatest(0, date_diff('second', created_at, TIMESTAMP '{AS_OF}')) / 3600.0::DOUBLE > sla_hours
    AND status <> 'closed') AS sla_breached FROM folded""")
 def queue_ages(spark, sf):
-    return workflow.queue_view(queue(spark, sf), as_of()).select(
+    return workflow.queue_view(queue(spark, sf), as_of(), 6).select(
         "alert_id", "age_hours", "sla_breached")
 
 
