@@ -38,6 +38,18 @@ def test_transaction_file(spark, tmp_path):
         ingest.canonical_transactions(raw.drop("Amount Paid"))
 
 
+def test_repeated_headers_and_odd_numbers(spark, tmp_path):
+    rows = [["2022/09/01 00:20", "1", "\t7 ", "2", "8", "nan", "USD", "inf", "USD", "Wire", "nan"]]
+    raw = ingest.read_raw_csv(spark, write_csv(tmp_path / "r.csv", HEADER, rows))
+    assert raw.columns == S.RAW_TRANSACTION_HEADERS
+    assert uploads.inspect(raw).schema_name == "ibm_aml"
+    row = ingest.canonical_transactions(raw).first()
+    assert (row.from_account, row.amount_received, row.amount_paid, row.is_laundering) == (
+        "7", None, float("inf"), 0)
+    with pytest.raises(ValueError, match="no header"):
+        ingest.read_raw_csv(spark, write_csv(tmp_path / "e.csv", [], []))
+
+
 def test_knowledge_file_sample_and_publish(spark, tmp_path):
     rows = [["10:35:19", "2022-10-07", str(i), str(i + 1), "5.5", "UK pounds", "UK pounds", "UK", "UAE",
              "Cash", "1" if i < 3 else "0", "Smurfing" if i < 3 else "Normal_Group"] for i in range(40)]

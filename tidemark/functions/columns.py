@@ -8,9 +8,23 @@ from pyspark.sql import functions as F
 from tidemark.policy import HIGH_RISK_COUNTRIES
 
 
+BLANKS = " \t\n\r\f\v"
+
+
+def trimmed(text: Column) -> Column:
+    """Without any white space at either end (``trim`` alone only takes spaces)."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def clean(name: str) -> Column:
     """Trimmed text with null as ''."""
-    return F.coalesce(F.trim(F.col(name)), F.lit(""))
+    return F.coalesce(trimmed(F.col(name)), F.lit(""))
+
+
+def readable_number(text: Column) -> Column:
+    """Text as double, null where it is no number."""
+    value = trimmed(text.cast("string")).try_cast("double")
+    return F.when(~F.isnan(value), value)
 
 
 def number(df: DataFrame, name: str, default: float = 0.0) -> Column:

@@ -6,17 +6,26 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import schema as S
-from tidemark.functions.columns import clean
+from tidemark.functions.columns import clean, readable_number, trimmed
 from tidemark.functions.sampling import bottom_k, hash_key
 
 
 def read_raw_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> DataFrame:
-    """All columns as text. ``headers`` names them by position (the public transaction file
-    has two columns called Account)."""
-    reader = spark.read.option("header", True)
-    if headers:
-        return reader.schema(S.raw_string_schema(headers)).csv(path)
-    return reader.option("inferSchema", False).csv(path)
+    """All columns as text, named by position.
+
+    Names come from the first line unless given. A repeated one gets a number, the second
+    Account becoming ``Account.1``.
+    """
+    if headers is None:
+        first = spark.read.csv(path).first()
+        if first is None:
+            raise ValueError(f"no header line in {path}")
+        headers = []
+        for i, name in enumerate(first):
+            name = name or f"Unnamed: {i}"
+            copies = sum(h == name or h.rpartition(".")[0] == name for h in headers)
+            headers.append(f"{name}.{copies}" if copies else name)
+    return spark.read.option("header", True).schema(S.raw_string_schema(headers)).csv(path)
 
 
 def parse_timestamp(text: Column) -> Column:
@@ -38,12 +47,12 @@ def canonical_transactions(raw: DataFrame) -> DataFrame:
                       "a transaction file")
 
     def text(name: str) -> Column:
-        return F.coalesce(F.trim(F.col(f"`{name}`")), F.lit(""))
+        return F.coalesce(trimmed(F.col(f"`{name}`")), F.lit(""))
 
     def amount(name: str) -> Column:
-        return F.trim(F.col(f"`{name}`")).try_cast("double")
+        return readable_number(F.col(f"`{name}`"))
 
-    stamp = parse_timestamp(F.trim("Timestamp"))
+    stamp = parse_timestamp(trimmed(F.col("Timestamp")))
     return _ordered(raw.select(
         stamp.alias("timestamp"), text("From Bank").alias("from_bank"),
         text("Account").alias("from_account"), text("To Bank").alias("to_bank"),
@@ -51,24 +60,24 @@ def canonical_transactions(raw: DataFrame) -> DataFrame:
         text("Receiving Currency").alias("receiving_currency"),
         amount("Amount Paid").alias("amount_paid"), text(paying).alias("paying_currency"),
         text("Payment Format").alias("payment_format"),
-        F.coalesce(amount("Is Laundering").cast("int"), F.lit(0)).alias("is_laundering"),
+        F.coalesce(amount("Is Laundering").try_cast("int"), F.lit(0)).alias("is_laundering"),
         F.to_date(stamp).alias("txn_date"), amount("Amount Paid").alias("amount_usd"),
     ), S.TRANSACTION_SCHEMA)
 
 
 def canonical_knowledge(raw: DataFrame) -> DataFrame:
     S.require_columns(raw.columns, S.RAW_KNOWLEDGE_HEADERS, "a calibration file")
-    stamp = parse_timestamp(F.concat_ws(" ", F.trim("Date"), F.trim("Time")))
+    stamp = parse_timestamp(F.concat_ws(" ", trimmed(F.col("Date")), trimmed(F.col("Time"))))
     return _ordered(raw.select(
         stamp.alias("timestamp"), F.to_date(stamp).alias("txn_date"),
         clean("Sender_account").alias("from_account"), clean("Receiver_account").alias("to_account"),
-        F.trim("Amount").try_cast("double").alias("amount"),
+        readable_number(F.col("Amount")).alias("amount"),
         clean("Payment_currency").alias("payment_currency"),
         clean("Received_currency").alias("received_currency"),
         clean("Sender_bank_location").alias("from_country"),
         clean("Receiver_bank_location").alias("to_country"),
         clean("Payment_type").alias("payment_format"),
-        F.coalesce(F.trim("Is_laundering").try_cast("double").cast("int"), F.lit(0))
+        F.coalesce(readable_number(F.col("Is_laundering")).try_cast("int"), F.lit(0))
          .alias("is_laundering"),
         clean("Laundering_type").alias("laundering_type")), S.KNOWLEDGE_SCHEMA)
 
