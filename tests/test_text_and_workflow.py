@@ -241,9 +241,11 @@ def test_audit(spark, alerts):
     acts = log(spark, alerts, [("E1", "assign", "kim"), ("E1", "note", "hello")])
     events = workflow.audit_events(alerts, acts, policy_version="p1")
     kinds = Counter(r.event_type for r in events.collect())
-    assert kinds == {"alert_created": 3, "investigation_completed": 1, "alert_assigned": 1, "note_added": 1}
+    assert kinds == {"alert_created": 3, "investigation_completed": 1, "alert_assigned": 1, "analyst_note_added": 1}
     newest = workflow.audit_page(events, limit=1).first()
-    assert newest.event_type == "note_added" and newest.payload == '{"note_length":5}'
+    assert newest.event_type == "analyst_note_added" and newest.payload == '{"note":"hello"}'
+    governed = workflow.audit_events(alerts, acts, policy_version="p1", governed=True)
+    assert workflow.audit_page(governed, limit=1).first().payload == '{"note_length":5}'
     assert events.select("event_id").distinct().count() == 6
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tidemark.schema import require_columns
 
-ORDERINGS = ["txn_count", "total_amount", "avg_amount", "min_amount", "max_amount"]
+GROUPS = ["from_account", "to_account"]
+ORDERINGS = ["txn_count", "total_amount", "avg_amount", "min_amount", "max_amount",
+             "distinct_counterparties"]
 
 
 def threshold_groups(df: DataFrame, group_by: str = "from_account", *, min_count: int = 1,
@@ -19,6 +21,8 @@ def threshold_groups(df: DataFrame, group_by: str = "from_account", *, min_count
     """
     require_columns(df.columns, [group_by, "amount_paid", "timestamp", "to_account"],
                     "aggregation")
+    if group_by not in GROUPS:
+        raise ValueError(f"group_by must be one of {', '.join(GROUPS)}")
     if min_count < 1:
         raise ValueError("min_count must be at least 1")
     rows = df.where(F.col(group_by).isNotNull() & F.col("amount_paid").isNotNull()
@@ -48,6 +52,8 @@ def top_groups(groups: DataFrame, group_by: str = "from_account", *,
                order_by: str = "txn_count", limit: int = 100) -> DataFrame:
     if order_by not in ORDERINGS:
         raise ValueError(f"order_by must be one of {', '.join(ORDERINGS)}")
+    if limit < 1:
+        raise ValueError("limit must be positive")
     return groups.orderBy(F.col(order_by).desc(), F.col(group_by)).limit(limit)
 
 

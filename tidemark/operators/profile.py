@@ -69,7 +69,7 @@ def daily_counts(df: DataFrame) -> DataFrame:
 
 def category_top(df: DataFrame, column: str, k: int = 12) -> DataFrame:
     name = F.col(column)
-    shown = F.when(name.isNull() | (F.trim(name) == ""), F.lit("Unknown")).otherwise(name)
+    shown = F.when(name.isNull() | (name == ""), F.lit("Unknown")).otherwise(name)
     return (df.groupBy(shown.alias("category")).agg(F.count("*").alias("row_count"))
               .orderBy(F.desc("row_count"), "category").limit(k))
 

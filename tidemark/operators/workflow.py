@@ -54,8 +54,12 @@ def alerts_from_findings(findings: DataFrame, investigation_id: str | Column,
 
 
 def audit_events(alerts: DataFrame, actions: DataFrame, *, policy_version: str,
-                 model_version: str = "", snapshot: str = "") -> DataFrame:
-    """Audit rows for created alerts, finished investigations and analyst actions."""
+                 model_version: str = "", snapshot: str = "",
+                 governed: bool = False) -> DataFrame:
+    """Audit rows for created alerts, finished investigations and analyst actions.
+
+    The governed variant records the length of a note instead of its text.
+    """
     def row(event: Column, actor: Column, inv: Column, alert: Column, at: Column,
             payload: Column) -> list[Column]:
         key = F.concat_ws("|", event, inv, alert, at.cast("string"), payload)
@@ -80,18 +84,27 @@ def audit_events(alerts: DataFrame, actions: DataFrame, *, policy_version: str,
                              none, F.col("created_at"),
                              F.to_json(F.struct("flagged", "high_risk")))))
     names = {"assign": "alert_assigned", "disposition": "alert_dispositioned",
-             "note": "note_added"}
+             "note": "alert_note_added" if governed else "analyst_note_added"}
+    said = (F.struct(F.length("value").alias("note_length")) if governed
+            else F.struct(F.trim("value").alias("note")))
     payload = (F.when(F.col("action") == "assign",
                       F.to_json(F.struct(F.col("value").alias("assigned_to"))))
                 .when(F.col("action") == "disposition",
-                      F.to_json(F.struct(F.col("value").alias("disposition"))))
-                .otherwise(F.to_json(F.struct(F.length("value").alias("note_length")))))
+                      F.to_json(F.struct(F.col("value").alias("disposition"),
+                                         _decided(governed).alias("status"))))
+                .otherwise(F.to_json(said)))
     acted = actions.join(alerts.select("alert_id", "investigation_id"), "alert_id").select(*row(
         _pick("action", names, None), F.col("actor"), F.col("investigation_id"),
         F.col("alert_id"), F.col("at"), payload))
     return created.unionByName(finished).unionByName(acted)
 
 
+def _decided(governed: bool) -> Column:
+    """Status a disposition leads to."""
+    return _pick("value", GOVERNED_DISPOSITIONS if governed else QUEUE_DISPOSITIONS,
+                 None if governed else "closed")
+
+
 def fold_actions(alerts: DataFrame, actions: DataFrame, *, governed: bool = False) -> DataFrame:
     """Current state of every alert from its action log (alert_id, seq, action, actor,
     value, at).
@@ -100,8 +113,7 @@ def fold_actions(alerts: DataFrame, actions: DataFrame, *, governed: bool = Fals
     a disposition sets the status its policy names; later actions win.
     """
     assign, decide = F.col("action") == "assign", F.col("action") == "disposition"
-    decided = _pick("value", GOVERNED_DISPOSITIONS if governed else QUEUE_DISPOSITIONS,
-                    None if governed else "closed")
+    decided = _decided(governed)
     moved = F.when(assign, "in_review").when(decide, decided)
     note = F.col("action") == "note"
     latest = actions.groupBy("alert_id").agg(
@@ -144,14 +156,16 @@ def notes_page(actions: DataFrame, alert: str, *, limit: int = 100, offset: int
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("notes"))
 
 
-def queue_view(alerts: DataFrame, as_of: datetime | Column, digits: int = 2) -> DataFrame:
+def queue_view(alerts: DataFrame, as_of: datetime | Column, *, digits: int = 2,
+               governed: bool = False) -> DataFrame:
     """Add the age in hours at ``as_of`` and whether the service level is missed.
 
-    Both instants count by their whole second.
+    The governed variant counts both instants by their whole second.
     """
-    now = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    seconds = (F.unix_seconds(now.cast("timestamp"))
-               - F.unix_seconds(F.col("created_at").cast("timestamp")))
+    now = (as_of if isinstance(as_of, Column) else F.lit(as_of)).cast("timestamp")
+    made = F.col("created_at").cast("timestamp")
+    seconds = (F.unix_seconds(now) - F.unix_seconds(made) if governed
+               else (F.unix_micros(now) - F.unix_micros(made)) / 1e6)
     age = F.greatest(F.lit(0), seconds) / 3600.0
     return (alerts.withColumn("age_hours", F.round(age, digits))
                   .withColumn("sla_breached", (age > F.col("sla_hours"))

@@ -825,12 +825,16 @@ def queue_governed_page(spark, sf):
         "alert_id", "risk_label", "assigned_to", "created_at")
 
 
-@query("queue_ages", O.with_(*O.QUEUE) + f"""SELECT alert_id, {_AGE} AS age_hours,
+@query("queue_ages", O.with_(*O.QUEUE) + f"""SELECT alert_id, {_AGE} AS governed_hours,
+  round(greatest(0, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(created_at)) / 3600000000.0::DOUBLE, 6) AS age_hours,
   (greatest(0, date_diff('second', created_at, TIMESTAMP '{AS_OF}')) / 3600.0::DOUBLE > sla_hours
    AND status <> 'closed') AS sla_breached FROM folded""")
 def queue_ages(spark, sf):
-    return workflow.queue_view(queue(spark, sf), as_of(), 6).select(
-        "alert_id", "age_hours", "sla_breached")
+    exact = workflow.queue_view(queue(spark, sf), as_of(), digits=6)
+    governed = workflow.queue_view(exact.withColumnRenamed("age_hours", "exact_hours"), as_of(),
+                                   digits=6, governed=True)
+    return governed.select("alert_id", F.col("age_hours").alias("governed_hours"),
+                           F.col("exact_hours").alias("age_hours"), "sla_breached")
 
 
 @query("queue_summary", O.with_(*O.QUEUE) + """SELECT count(*) AS total, count(*) FILTER (WHERE status = 'new') AS new,
@@ -907,7 +911,7 @@ def audit_page(spark, sf):
   FROM (SELECT 'alert_created' AS event_type FROM alerts UNION ALL
   SELECT 'investigation_completed' FROM (SELECT DISTINCT investigation_id FROM alerts) i UNION ALL
   SELECT CASE action WHEN 'assign' THEN 'alert_assigned' WHEN 'disposition' THEN 'alert_dispositioned'
-    ELSE 'note_added' END FROM actions JOIN alerts USING (alert_id)) q GROUP BY 1""")
+    ELSE 'analyst_note_added' END FROM actions JOIN alerts USING (alert_id)) q GROUP BY 1""")
 def audit_event_counts(spark, sf):
     events = workflow.audit_events(shared(alerts(spark, sf)), actions(spark, sf),
                                    policy_version=P.EntityRiskPolicy().version)
