@@ -36,9 +36,9 @@ from tidemark.llm.shared import keep
 K = 5
 TAIL = 0.5
 HEAVY = 1 / 2000
-PART_TOKENS = 12_000_000
+PART_TOKENS = 6_000_000
 SUBS = 6  # of a partition, evaluated one after another
-HELD = 4_000_000  # tokens that a task packs at a time
+HELD = 2_500_000  # tokens that a task packs at a time
 BEGIN, END = np.uint64(1), np.uint64(2)
 
 
@@ -133,10 +133,13 @@ def _packer(parts: int, heavy: np.ndarray):
             at = np.where(heavy[place] == w, words.mixed(w ^ words.mixed(h)), at)
         return at % cells
 
-    def pack(w, h, d, ids, train):
-        cell = celled(w, h)
-        order = np.lexsort((h, w, cell))
-        w, h, d, cell = w[order], h[order], d[order], cell[order].astype(np.int64)
+    def pack(held):
+        w, h, d, ids, train = map(np.concatenate, zip(*held))
+        held.clear()
+        cell = celled(w, h).astype(np.int32)
+        order = np.lexsort((h, w, cell)).astype(np.int32)
+        w, h, d, cell = w[order], h[order], d[order], cell[order]
+        del order
         part = cell // SUBS
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
         out = []
@@ -161,13 +164,13 @@ def _packer(parts: int, heavy: np.ndarray):
             fold = np.array(batch.column("train"))
             i = 0
             for own, before, n in _tokens(batch.column("text")):
-                held.append((own, before, np.repeat(np.arange(docs, docs + len(n)), n), keys[i:i + len(n)], fold[i:i + len(n)]))
+                held.append((own, before, np.repeat(np.arange(docs, docs + len(n), dtype=np.int32), n), keys[i:i + len(n)], fold[i:i + len(n)]))
                 i, docs, size = i + len(n), docs + len(n), size + len(own)
                 if size >= HELD:
-                    yield pack(*map(np.concatenate, zip(*held)))
-                    held, size, docs = [], 0, 0
+                    yield pack(held)
+                    size, docs = 0, 0
         if held:
-            yield pack(*map(np.concatenate, zip(*held)))
+            yield pack(held)
     return packed
 
 
@@ -208,21 +211,23 @@ def _evaluator(model):
     """
     def evaluate(table: pa.Table) -> pa.Table:
         known, held = model.value, []
-        for r in table.to_pylist():
+        for i in range(table.num_rows):
+            r = table.slice(i, 1).to_pylist()[0]
             at_d = _opened(r["at_d"], _index(r["n_d"]), r["n"])
-            w = np.frombuffer(r["w"], np.uint64)
-            held.append((np.cumsum([0, *np.frombuffer(r["subs"], np.int64)]),
-                         np.repeat(w, _opened(r["n_of_w"], np.uint32, r["n_w"])),
+            held.append((np.cumsum([0, *np.frombuffer(r["subs"], np.int64)]), np.frombuffer(r["w"], np.uint64),
+                         np.append(0, np.cumsum(_opened(r["n_of_w"], np.uint32, r["n_w"]), dtype=np.int64)),
                          np.frombuffer(r["h"], np.uint64), _opened(r["at_h"], np.uint32, r["n"]), at_d,
                          _opened(r["doc"], np.int64, r["n_d"]),
                          np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_d"]).astype(bool)))
         sums: list[pa.Table] = [_rows(k, np.zeros(0, np.int64)) for k in range(3)]
         for sub in range(SUBS):
             part = []
-            for cuts, w, h, at_h, at_d, docs, train in held:
+            for cuts, w, to_w, h, at_h, at_d, docs, train in held:
                 own = slice(int(cuts[sub]), int(cuts[sub + 1]))
-                part.append((w[own], h[at_h[own]], docs[at_d[own]], train[at_d[own]]))
+                a, b = np.searchsorted(to_w, cuts[sub:sub + 2])  # a word never spans two sub-partitions
+                part.append((np.repeat(w[a:b], np.diff(to_w[a:b + 1])), h[at_h[own]], docs[at_d[own]], train[at_d[own]]))
             w, h, d, t = map(np.concatenate, zip(*part))
+            del part
             if len(w):
                 found = _evaluated(known, w, h, d, t)
                 sums = [_summed(pa.concat_tables(x)) for x in zip(sums, found)]
@@ -258,7 +263,7 @@ def _rows(kind: int, key, key2=None, classes=None, **sums) -> pa.Table:
     cols = {"kind": np.full(len(key), kind), "key": key, "key2": zero if key2 is None else key2}
     cols |= {c: zero if classes is None else classes[i] for i, c in enumerate(_CLASSES)}
     cols |= {c: sums.get(c, zero) for c in ("tokens", "known")}
-    return pa.table(cols | {c: sums.get(c, none) for c in ("x", "y", "z")})
+    return pa.table(cols | {c: np.asarray(sums.get(c, none), float) for c in ("x", "y", "z")})
 
 
 def _by_class(counts, total) -> list[np.ndarray]:
