@@ -23,12 +23,13 @@ Repeated rows count and are scored each on its own.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from tidemark.llm import words
 from tidemark.llm.shared import keep
@@ -37,7 +38,7 @@ K = 5
 TAIL = 0.5
 HEAVY = 1 / 2000
 PART_TOKENS = 6_000_000
-SUBS = 6  # of a partition, evaluated one after another
+SUBS = 8  # of a partition, evaluated one after another
 HELD = 2_500_000  # tokens that a task packs at a time
 BEGIN, END = np.uint64(1), np.uint64(2)
 
@@ -110,50 +111,61 @@ def unigrams(training: DataFrame) -> DataFrame:
 
 
 def _squeezed(values: np.ndarray) -> bytes:
-    return pa.compress(values.tobytes(), "zstd", asbytes=True)
+    """Compressed, all low bytes before all high ones."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True)
 
 
 def _opened(raw: bytes, kind, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(raw, n * size, "zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
 
 
-_ARRAYS = ("w", "n_of_w", "h", "at_h", "at_d", "doc", "train", "subs")
+def _coded(values: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Distinct values, the frequent ones first, and each value's place among them."""
+    own, at, n = np.unique(values, return_inverse=True, return_counts=True)
+    order = np.argsort(-n, kind="stable")
+    place = np.empty(len(own), _index(len(own)))
+    place[order] = np.arange(len(own))
+    return own[order], _squeezed(place[at])
+
+
+def _index(n: int):
+    return np.uint16 if n <= 65536 else np.uint32
+
+
+_ARRAYS = ("w", "at_w", "h", "at_h", "doc", "n_of_doc", "train")
 _PACKED = StructType([*(StructField(c, LongType()) for c in ("part", "n", "n_w", "n_h", "n_d")),
                       *(StructField(c, BinaryType()) for c in _ARRAYS)])
 
 
 def _packer(parts: int, heavy: np.ndarray):
-    """Postings of a task's documents, packed for each partition and sorted by sub-partition and word."""
-    cells = np.uint64(parts * SUBS)
-
-    def celled(w, h):
+    """Postings of a task's documents, packed for each partition in the order of the documents."""
+    def parted(w, h):
         at = words.mixed(w)
         if len(heavy):
             place = np.minimum(np.searchsorted(heavy, w), len(heavy) - 1)
             at = np.where(heavy[place] == w, words.mixed(w ^ words.mixed(h)), at)
-        return at % cells
+        return (at % np.uint64(parts)).astype(np.int32)
 
     def pack(held):
         w, h, d, ids, train = map(np.concatenate, zip(*held))
         held.clear()
-        cell = celled(w, h).astype(np.int32)
-        order = np.lexsort((h, w, cell)).astype(np.int32)
-        w, h, d, cell = w[order], h[order], d[order], cell[order]
+        part = parted(w, h)
+        order = np.argsort(part, kind="stable").astype(np.int32)
+        w, h, d, part = w[order], h[order], d[order], part[order]
         del order
-        part = cell // SUBS
         cuts = np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(part))
         out = []
         for lo, hi in zip(cuts, cuts[1:]):
-            at_w = np.flatnonzero((np.diff(w[lo:hi], prepend=w[lo] ^ np.uint64(1)) != 0) | (np.diff(cell[lo:hi], prepend=-1) != 0))
-            own_h, at_h = np.unique(h[lo:hi], return_inverse=True)
-            own_d, at_d = np.unique(d[lo:hi], return_inverse=True)
-            subs = np.bincount(cell[lo:hi] % SUBS, minlength=SUBS)
-            out.append({"part": int(part[lo]), "n": int(hi - lo), "n_w": len(at_w), "n_h": len(own_h), "n_d": len(own_d),
-                        "w": w[lo:hi][at_w].tobytes(),
-                        "n_of_w": _squeezed(np.diff(np.append(at_w, hi - lo)).astype(np.uint32)),
-                        "h": own_h.tobytes(), "at_h": _squeezed(at_h.astype(np.uint32)),
-                        "at_d": _squeezed(at_d.astype(_index(len(own_d)))), "doc": _squeezed(ids[own_d]),
-                        "train": np.packbits(train[own_d]).tobytes(), "subs": subs.astype(np.int64).tobytes()})
+            own_w, at_w = _coded(w[lo:hi])
+            own_h, at_h = _coded(h[lo:hi])
+            own_d, n_of_d = np.unique(d[lo:hi], return_counts=True)
+            out.append({"part": int(part[lo]), "n": int(hi - lo), "n_w": len(own_w), "n_h": len(own_h), "n_d": len(own_d),
+                        "w": own_w.tobytes(), "at_w": at_w, "h": own_h.tobytes(), "at_h": at_h,
+                        "doc": _squeezed(ids[own_d]), "n_of_doc": _squeezed(n_of_d.astype(np.uint32)),
+                        "train": np.packbits(train[own_d]).tobytes()})
         return pa.RecordBatch.from_pylist(out, schema=pa.schema(
             [*((c, pa.int64()) for c in ("part", "n", "n_w", "n_h", "n_d")), *((c, pa.binary()) for c in _ARRAYS)]))
 
@@ -174,10 +186,6 @@ def _packer(parts: int, heavy: np.ndarray):
     return packed
 
 
-def _index(n: int):
-    return np.uint16 if n <= 65536 else np.uint32
-
-
 class Words:
     """What every partition knows: the unigram discounts, totals, and the heavy words' counts."""
 
@@ -196,8 +204,11 @@ class Words:
 
 #: Rows of three kinds, see _evaluator; key2 is the document of a miss.
 _CLASSES = [f"c{r}" for r in range(1, K + 2)]
-_SUMS = StructType([*(StructField(c, LongType()) for c in ("kind", "key", "key2", *_CLASSES, "tokens", "known")),
-                    *(StructField(c, DoubleType()) for c in ("x", "y", "z"))])
+_INTS = [*_CLASSES, "tokens", "known"]
+_FLOATS = ["x", "y", "z"]
+_SUMS = StructType([StructField("kind", IntegerType()), StructField("key", LongType()), StructField("key2", LongType()),
+                    *(StructField(c, IntegerType()) for c in _INTS), *(StructField(c, DoubleType()) for c in _FLOATS)])
+_OUT = 1 << 16  # rows that a task returns at a time
 
 
 def _evaluator(model):
@@ -209,39 +220,67 @@ def _evaluator(model):
     count, x the sum of its larger counts, y how many these are, z the sum of its words' own
     probabilities. Kind 2, a miss: an unseen pair of a document, by context.
     """
-    def evaluate(table: pa.Table) -> pa.Table:
+    def evaluate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held = model.value, []
-        for i in range(table.num_rows):
-            r = table.slice(i, 1).to_pylist()[0]
-            at_d = _opened(r["at_d"], _index(r["n_d"]), r["n"])
-            held.append((np.cumsum([0, *np.frombuffer(r["subs"], np.int64)]), np.frombuffer(r["w"], np.uint64),
-                         np.append(0, np.cumsum(_opened(r["n_of_w"], np.uint32, r["n_w"]), dtype=np.int64)),
-                         np.frombuffer(r["h"], np.uint64), _opened(r["at_h"], np.uint32, r["n"]), at_d,
-                         _opened(r["doc"], np.int64, r["n_d"]),
-                         np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_d"]).astype(bool)))
-        sums: list[pa.Table] = [_rows(k, np.zeros(0, np.int64)) for k in range(3)]
+        for batch in batches:
+            for r in batch.to_pylist():
+                w = np.frombuffer(r["w"], np.uint64)
+                held.append((w, (words.mixed(w) >> np.uint64(40)) % np.uint64(SUBS),
+                             _opened(r["at_w"], _index(r["n_w"]), r["n"]),
+                             np.frombuffer(r["h"], np.uint64), _opened(r["at_h"], _index(r["n_h"]), r["n"]),
+                             np.repeat(np.arange(r["n_d"], dtype=_index(r["n_d"])), _opened(r["n_of_doc"], np.uint32, r["n_d"])),
+                             _opened(r["doc"], np.int64, r["n_d"]),
+                             np.unpackbits(np.frombuffer(r["train"], np.uint8), count=r["n_d"]).astype(bool)))
+        docs, ctxs = _Sums(), _Sums()
         for sub in range(SUBS):
             part = []
-            for cuts, w, to_w, h, at_h, at_d, docs, train in held:
-                own = slice(int(cuts[sub]), int(cuts[sub + 1]))
-                a, b = np.searchsorted(to_w, cuts[sub:sub + 2])  # a word never spans two sub-partitions
-                part.append((np.repeat(w[a:b], np.diff(to_w[a:b + 1])), h[at_h[own]], docs[at_d[own]], train[at_d[own]]))
+            for w, sub_of_w, at_w, h, at_h, at_d, ids, train in held:
+                own = np.flatnonzero((sub_of_w == sub)[at_w])
+                part.append((w[at_w[own]], h[at_h[own]], ids[at_d[own]], train[at_d[own]]))
             w, h, d, t = map(np.concatenate, zip(*part))
             del part
             if len(w):
-                found = _evaluated(known, w, h, d, t)
-                sums = [_summed(pa.concat_tables(x)) for x in zip(sums, found)]
-        return pa.concat_tables(sums)
+                missed = _evaluated(known, w, h, d, t, docs, ctxs)
+                yield from _batches(2, *missed)
+        del held
+        yield from _batches(0, docs.keys, None, docs)
+        yield from _batches(1, ctxs.keys, None, ctxs)
     return evaluate
 
 
-def _summed(table: pa.Table) -> pa.Table:
-    names = [*_CLASSES, "tokens", "known", "x", "y", "z"]
-    out = table.group_by(["kind", "key", "key2"], use_threads=False).aggregate([(c, "sum") for c in names])
-    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(table.column_names)
+class _Sums:
+    """Sums by key, added to in turn."""
+
+    def __init__(self) -> None:
+        self.keys = np.zeros(0, np.int64)
+        self.cols: dict[str, np.ndarray] = {c: np.zeros(0, np.int32) for c in _INTS} | {c: np.zeros(0) for c in _FLOATS}
 
+    def add(self, keys: np.ndarray, cols: dict[str, np.ndarray]) -> None:
+        """Keys are distinct."""
+        every, at = np.unique(np.concatenate([self.keys, keys]), return_inverse=True)
+        for c, old in self.cols.items():
+            new = np.zeros(len(every), old.dtype)
+            new[at[:len(old)]] = old
+            if c in cols:
+                new[at[len(old):]] += cols[c].astype(old.dtype)
+            self.cols[c] = new
+        self.keys = every
 
-def _evaluated(known, w, h, d, t) -> list[pa.Table]:
+
+def _batches(kind: int, keys: np.ndarray, keys2: np.ndarray | None, sums: _Sums | None = None) -> Iterator[pa.RecordBatch]:
+    for i in range(0, len(keys), _OUT):
+        key = keys[i:i + _OUT]
+        cols = {"kind": np.full(len(key), kind, np.int32), "key": key,
+                "key2": np.zeros(len(key), np.int64) if keys2 is None else keys2[i:i + _OUT]}
+        for c in _INTS:
+            cols[c] = sums.cols[c][i:i + _OUT] if sums else np.full(len(key), c == "tokens", np.int32)
+        for c in _FLOATS:
+            cols[c] = sums.cols[c][i:i + _OUT] if sums else np.zeros(len(key))
+        yield pa.RecordBatch.from_pydict(cols)
+
+
+def _evaluated(known, w, h, d, t, docs: _Sums, ctxs: _Sums) -> tuple[np.ndarray, np.ndarray]:
+    """Adds to the sums of documents and contexts; returns the misses as contexts and documents."""
     order = np.lexsort((h, w))
     w, h, d, t = w[order], h[order], d[order], t[order]
     new_w = np.diff(w, prepend=w[0] ^ np.uint64(1)) != 0
@@ -254,45 +293,30 @@ def _evaluated(known, w, h, d, t) -> list[pa.Table]:
     c_p = np.add.reduceat(t, at_p, dtype=np.int64)
     own_w, own_p = np.cumsum(new_w) - 1, np.cumsum(new_p) - 1
     p_w = known.probability(c_w)
-    return [_documents(w, d, c_w, c_p, p_w, own_w, own_p), _contexts(h[at_p], c_p, p_w[own_w[at_p]]),
-            _misses(h, d, c_p[own_p])]
-
-
-def _rows(kind: int, key, key2=None, classes=None, **sums) -> pa.Table:
-    zero, none = np.zeros(len(key), np.int64), np.zeros(len(key))
-    cols = {"kind": np.full(len(key), kind), "key": key, "key2": zero if key2 is None else key2}
-    cols |= {c: zero if classes is None else classes[i] for i, c in enumerate(_CLASSES)}
-    cols |= {c: sums.get(c, zero) for c in ("tokens", "known")}
-    return pa.table(cols | {c: np.asarray(sums.get(c, none), float) for c in ("x", "y", "z")})
-
-
-def _by_class(counts, total) -> list[np.ndarray]:
-    return [total(counts == r).astype(np.int64) for r in range(1, K + 2)]
-
-
-def _documents(w, d, c_w, c_p, p_w, own_w, own_p) -> pa.Table:
-    docs, at = np.unique(d, return_inverse=True)
-    total = lambda values: np.bincount(at, values, len(docs))
-    counts = c_p[own_p]
-    large = np.log10(np.maximum(c_p - TAIL, 0.5))
-    gain = np.where(counts > K, large[own_p], np.where(counts == 0, np.log10(p_w)[own_w], 0.0))
-    length = np.log10(np.maximum(c_w, 1))
-    return _rows(0, docs, classes=_by_class(counts, total), x=total(gain),
-                 y=total(np.where(w != END, length[own_w], 0.0)), z=total(np.log10(c_w + 1.0)[own_w]),
-                 tokens=np.bincount(at, minlength=len(docs)), known=total((c_w > 0)[own_w]).astype(np.int64))
-
-
-def _contexts(h, c, p) -> pa.Table:
-    h, c, p = h[c > 0], c[c > 0], p[c > 0]
-    keys, at = np.unique(h, return_inverse=True)
+    counts, inner = c_p[own_p], w != END
+    docs.add(*_per_document(d, counts, inner, own_w, {
+        "large": np.log10(np.maximum(c_p - TAIL, 0.5))[own_p], "miss": np.log10(p_w), "length": np.log10(np.maximum(c_w, 1)),
+        "base": np.log10(c_w + 1.0), "known": c_w > 0}))
+    seen = c_p > 0
+    ctxs.add(*_per_context(h[at_p][seen], c_p[seen], p_w[own_w[at_p]][seen]))
+    missed = counts == 0
+    return words.as_long(h[missed]), d[missed]
+
+
+def _per_document(d, counts, inner, own_w, of) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    keys, at = np.unique(d, return_inverse=True)
     total = lambda values: np.bincount(at, values, len(keys))
-    return _rows(1, words.as_long(keys), classes=_by_class(c, total), x=total(np.where(c > K, c, 0)),
-                 y=total(c > K), z=total(p))
+    gain = np.where(counts > K, of["large"], np.where(counts == 0, of["miss"][own_w], 0.0))
+    return keys, {"x": total(gain), "y": total(np.where(inner, of["length"][own_w], 0.0)), "z": total(of["base"][own_w]),
+                  "tokens": np.bincount(at, minlength=len(keys)), "known": total(of["known"][own_w])} | {
+        c: total(counts == r) for r, c in enumerate(_CLASSES, 1)}
 
 
-def _misses(h, d, counts) -> pa.Table:
-    out = counts == 0
-    return _rows(2, words.as_long(h[out]), key2=d[out], tokens=np.ones(int(out.sum()), np.int64))
+def _per_context(h, c, p) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    keys, at = np.unique(words.as_long(h), return_inverse=True)
+    total = lambda values: np.bincount(at, values, len(keys))
+    return keys, {"x": total(np.where(c > K, c, 0)), "y": total(c > K), "z": total(p)} | {
+        name: total(c == r) for r, name in enumerate(_CLASSES, 1)}
 
 
 def score(documents: DataFrame, train: Column | None = None, key: str = "doc_id") -> DataFrame:
