@@ -38,9 +38,10 @@ from tidemark.llm.shared import arrow, keep
 SIZE = 5
 LEAST = 0.8
 T = 64
-SMALL = 64
+SMALL = 256
 BLOCK = 128
-RECALL = 0.999
+RECALL = 0.99
+DEPTH = 3
 SEED = 11
 #: Estimates from T tokens stray; this far below the threshold a pair is still a candidate.
 SLACK = 0.2
@@ -87,7 +88,7 @@ def _survives(depth: int, rate: float, least: float) -> float:
     return q
 
 
-def runs_for(recall: float, depth: int = 2, rate: float = 1 / LEAST, least: float = LEAST) -> int:
+def runs_for(recall: float, depth: int = DEPTH, rate: float = 1 / LEAST, least: float = LEAST) -> int:
     """Runs that find a pair at the threshold with at least this recall."""
     return math.ceil(math.log(1 - recall) / math.log(1 - _survives(depth, rate, least)))
 
@@ -99,26 +100,34 @@ def _chosen(bucket: int, seed: int) -> np.ndarray:
     return np.flatnonzero(rng.random(T) < 1 / (LEAST * T))
 
 
-def _next(bucket: int, sketch: np.ndarray, seed: int) -> list[int]:
+def _next(bucket: int, sketches: np.ndarray, seed: int) -> np.ndarray:
+    """The buckets that each row of sketches goes on to from a bucket."""
     at = _chosen(bucket, seed)
     key = np.uint64(bucket & (2**64 - 1))
     return words.as_long(words.mixed(words.mixed(
-        sketch[at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))) ^ key)).tolist()
+        sketches[:, at].astype(np.uint64) + (at.astype(np.uint64) << np.uint64(32))) ^ key))
+
+
+def _matrix(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint32).reshape(-1, T)
 
 
 def _split(seed: int):
     @arrow("array<bigint>")
     def paths(buckets: pa.Array, sketches: pa.Array) -> pa.Array:
-        return pa.array([_next(b, np.frombuffer(s, np.uint32), seed)
-                         for b, s in zip(buckets.to_pylist(), sketches.to_pylist())], pa.list_(pa.int64()))
+        rows = _matrix(sketches)
+        return pa.array([_next(b, rows[i:i + 1], seed)[0].tolist() for i, b in enumerate(buckets.to_pylist())],
+                        pa.list_(pa.int64()))
     return paths
 
 
 def _first(runs: range, seed: int):
     @arrow("array<bigint>")
     def paths(sketches: pa.Array) -> pa.Array:
-        return pa.array([[p for run in runs for p in _next(run, np.frombuffer(s, np.uint32), seed)]
-                         for s in sketches.to_pylist()], pa.list_(pa.int64()))
+        rows = _matrix(sketches)
+        found = np.concatenate([_next(run, rows, seed) for run in runs], axis=1)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), found.shape[1]).cast(
+            pa.list_(pa.int64())) if found.shape[1] else pa.array([[]] * len(rows), pa.list_(pa.int64()))
     return paths
 
 
@@ -153,10 +162,7 @@ def _alike(a: pa.Array, b: pa.Array) -> pa.Array:
 
 def candidates(sketches: DataFrame, recall: float = RECALL, seed: int = SEED) -> DataFrame:
     """Edges (a, b) between ids of sketches (sid, sketch) whose components hold all candidates."""
-    same = sketches.groupBy("sketch").agg(F.min("sid").alias("b"))
-    found = [sketches.join(same, "sketch").where("sid != b").select(F.col("sid").alias("a"), "b")]
-    own = keep(same.select(F.col("b").alias("sid"), "sketch"))
-    done, depth = 0, 1
+    own, found, done, depth = sketches, [], 0, DEPTH
     while done < (runs := runs_for(recall, depth)):  # deeper splits lose more, which more runs make up for
         more, reached = _runs(own, range(done, runs), seed)
         found += more
@@ -280,10 +286,11 @@ def _classes(rows: DataFrame, recall: float = RECALL, least: float = LEAST) -> D
     sets = keep(docs.where("set is not null").groupBy("set").agg(
         F.min("row").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"),
         F.min("sketch").alias("sketch"), F.min("key").alias("least")))
-    clusters = keep(components(candidates(sets.select("sid", "sketch"), recall)))
+    clusters = keep(components(candidates(keep(sets.select("sid", "sketch")), recall)))
     chosen = keep(placed(sets.join(clusters, sets.sid == clusters.id).select(
         "sid", F.col("component").alias("cluster"), "copies", "n")))
-    members = keep(rows.select(F.col("row").alias("sid"), "text").join(chosen, "sid").select(
+    # both sides grow with the input, so this is a merge join at every size
+    members = keep(rows.select(F.col("row").alias("sid"), "text").join(chosen.hint("merge"), "sid").select(
         "sid", "cluster", "block", "copies", "n", _sets("text").alias("own")))
     links = keep(verified(members, least))
     classes = components(links.where("sid != root").select(F.col("sid").alias("a"), F.col("root").alias("b")))
