@@ -15,45 +15,59 @@ def frame(spark, pairs):
                                   for i, (a, b) in enumerate(pairs)], TRANSFER)
 
 
-PAIRS = [("A", "B"), ("B", "C"), ("C", "A"),
-         ("I1", "H"), ("I2", "H"), ("I3", "H"), ("H", "O1"), ("H", "O2"), ("H", "O3"),
-         ("U1", "V1"), ("U1", "V2"), ("U2", "V1"), ("U2", "V2"),
-         ("S", "M1"), ("S", "M2"), ("S", "M3"), ("M1", "T"), ("M2", "T"), ("M3", "T")]
+def ring(names):
+    return list(zip(names, names[1:] + names[:1]))
+
+
+def each(sources, targets):
+    return [(a, b) for a in sources for b in targets]
+
+
+def named(prefix, n):
+    return [f"{prefix}{i}" for i in range(n)]
+
+
+# One of each pattern, of sizes that tell them apart: a ring of 4, a hub with 5 payers and
+# 3 payees, 2 accounts that share 3 payees, and 4 ways from one account to another.
+PLANTED = (ring(named("ring", 4)) + each(named("payer", 5), ["hub"]) + each(["hub"], named("payee", 3))
+           + each(named("twin", 2), named("shared", 3)) + each(["start"], named("relay", 4)) + each(named("relay", 4), ["goal"]))
 
 
 @pytest.fixture(scope="module")
 def found(spark):
-    return graph.find_patterns(frame(spark, PAIRS))
+    return graph.find_patterns(frame(spark, PLANTED))
 
 
 def test_cycle(found):
     rows = found.parts["cycles"].collect()
     assert [(r.accounts, r.length, r.transaction_count, r.total_amount) for r in rows] == [
-        (["A", "B", "C"], 3, 3, 300.0)]
+        (named("ring", 4), 4, 4, 400.0)]
 
 
 def test_hubs(found):
     fan_in = {r.account: r for r in found.parts["fan_in"].collect()}
-    assert fan_in["H"].degree == 3 and fan_in["H"].counterparties == ["I1", "I2", "I3"]
+    assert {a: r.degree for a, r in fan_in.items()} == {"hub": 5, "goal": 4}
+    assert fan_in["hub"].counterparties == named("payer", 5)
     fan_out = {r.account: r.degree for r in found.parts["fan_out"].collect()}
-    assert fan_out == {"H": 3, "S": 3}
-    assert [r.hub for r in found.parts["gather_scatter"].collect()] == ["H"]
+    assert fan_out == {"hub": 3, "start": 4, "twin0": 3, "twin1": 3}
+    assert [r.hub for r in found.parts["gather_scatter"].collect()] == ["hub"]
 
 
 def test_bipartite_and_scatter_gather(found):
     row, = found.parts["bipartite"].collect()
-    assert (row.source_a, row.source_b, row.destinations, row.edge_count) == ("U1", "U2", ["V1", "V2"], 4)
+    assert (row.source_a, row.source_b, row.edge_count) == ("twin0", "twin1", 6)
+    assert row.destinations == named("shared", 3)
     row, = found.parts["scatter_gather"].collect()
-    assert (row.source, row.destination, row.path_count) == ("S", "T", 3)
-    assert row.intermediaries == ["M1", "M2", "M3"]
+    assert (row.source, row.destination, row.path_count) == ("start", "goal", 4)
+    assert row.intermediaries == named("relay", 4)
 
 
 def test_summary_and_limits(spark, found):
     row = found.parts["summary"].first()
-    assert (row.input_rows, row.edges, row.self_loops) == (19, 19, 0)
-    assert row.nodes == 19 and row.density == round(19 / (19 * 18), 8)
-    df = frame(spark, PAIRS)
-    assert graph.find_patterns(df, max_rows=5).status == "skipped"
+    n = len({x for pair in PLANTED for x in pair})
+    assert (row.input_rows, row.edges, row.self_loops) == (len(PLANTED), len(PLANTED), 0)
+    assert row.nodes == n and row.density == round(len(PLANTED) / (n * (n - 1)), 8)
+    df = frame(spark, PLANTED)
     with pytest.raises(ValueError):
         graph.find_patterns(df, max_results=0)
     with pytest.raises(ValueError, match="amount_paid"):

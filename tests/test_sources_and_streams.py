@@ -62,14 +62,14 @@ def test_knowledge_file_sample_and_publish(spark, tmp_path):
     assert picked.exceptAll(ingest.stratified_sample(df.repartition(5), k=10)).count() == 0
     with pytest.raises(ValueError):
         ingest.stratified_sample(df, k=-1)
-    assert ingest.ingest_knowledge(spark, path, "calibration", normal_rows=10) == 13
-    assert ingest.ingest_knowledge(spark, path, "calibration", normal_rows=20) == 13
-    assert ingest.ingest_knowledge(spark, path, "calibration", normal_rows=20, force=True) == 23
+    rows = ingest.ingest_knowledge(spark, path, "calibration")
+    assert rows == spark.table("calibration").count() == ingest.read_raw_csv(spark, path).count()
+    assert ingest.ingest_knowledge(spark, path, "calibration", force=True) == rows
     with pytest.raises(ValueError):
         ingest.publish_table(df.limit(0), "calibration", force=True)
-    assert spark.table("calibration").count() == 23
+    assert spark.table("calibration").count() == 40
     ingest.append_rows(df.limit(2), "calibration")
-    assert spark.table("calibration").count() == 25
+    assert spark.table("calibration").count() == 42
     kyc = write_csv(tmp_path / "kyc.csv", ["id", "name"], [["007", "Bo"]])
     assert ingest.ingest_kyc(spark, kyc, "kyc") == 1 and spark.table("kyc").first().id == "007"
 
@@ -180,7 +180,7 @@ def test_arriving_files_load_once(spark, tmp_path):
     target, check, seen = str(tmp_path / "out"), str(tmp_path / "check"), []
 
     def run():
-        jobs.ingest_arrivals(spark, str(box), target, check, max_bytes=100_000,
+        jobs.ingest_arrivals(spark, str(box), target, check,
                              then=lambda df, i: seen.append(df.count())).awaitTermination()
         return spark.read.parquet(target).count()
 

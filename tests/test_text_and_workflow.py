@@ -11,12 +11,12 @@ from tidemark.functions.text import all_numbers_known, numbers, paragraphs
 from tidemark.operators import evidence, features, retrieval, risk, rules, stats, workflow
 from tidemark.plans.investigate import InvestigationSpec, investigate
 
-DOCS = [("fincen-structuring", "FinCEN: Structuring", "https://example.org/a", ["structuring", "smurfing"],
-         "Structuring breaks activity into smaller transactions to stay below reporting thresholds"),
-        ("fatf-layering", "FATF: Layering", "https://example.org/b", ["layering", "cycle"],
-         "Layering obscures the source of funds through complex transfers"),
-        ("ffiec-monitoring", "FFIEC: Monitoring", "https://example.org/c", ["single_large"],
-         "Monitoring should compare activity with customer expectations")]
+DOCS = [("g-split", "Splitting deposits", "https://example.org/split", ["structuring"],
+         "A limit that is never reached but nearly so, day after day, is one that somebody avoids"),
+        ("g-chain", "Chains of accounts", "https://example.org/chain", ["layering"],
+         "Money which passes quickly from one hand to the next hides where it came from"),
+        ("g-peer", "Comparing peers", "https://example.org/peer", ["single_large"],
+         "Only what others of its kind never do makes an account unusual")]
 
 
 @pytest.fixture(scope="module")
@@ -26,14 +26,14 @@ def corpus(spark):
 
 
 def test_idf_search_and_grounding(spark, corpus):
-    q = spark.createDataFrame([(1, "repeated structuring below the threshold", "structuring"),
-                               (2, "zebra quantum", None)], "query_id int, text string, typology string")
-    best = retrieval.idf_search(corpus, q).where("position = 1").collect()
-    assert [(r.query_id, r.doc_id) for r in best] == [(1, "fincen-structuring")]
+    q = spark.createDataFrame([(1, "avoids a limit", "structuring"), (2, "zebra quantum", None),
+                               (3, "Peers?", None)], "query_id int, text string, typology string")
+    best = retrieval.idf_search(corpus, q).where("position = 1").orderBy("query_id").collect()
+    assert [(r.query_id, r.doc_id) for r in best] == [(1, "g-split"), (3, "g-peer")]
     assert 0 < best[0].score <= 1
     rows = by_id(retrieval.grounding_context(corpus, q), "query_id")
-    assert rows[1].supported and rows[1].citations[0] == "https://example.org/a"
-    assert rows[1].summary.startswith("Retrieved context for structuring from FinCEN: Structuring")
+    assert rows[1].supported and rows[1].citations[0] == "https://example.org/split"
+    assert rows[1].summary.startswith("Retrieved context for structuring from Splitting deposits")
     assert not rows[2].supported and rows[2].citations == []
     with pytest.raises(ValueError):
         retrieval.idf_search(corpus, q, 11)

@@ -116,8 +116,6 @@ def flagged_entities(scored: DataFrame, row_key: str, pattern: str | None = None
     head = top.select("from_account", "risk_score", "risk_label", "escalation_action", *keep,
                       "typology_label", "explanation", "sar_draft", "citation")
     ids = top.select("from_account")
-    if limit is not None and limit <= 10_000:
-        ids = F.broadcast(ids)  # at most ``limit`` names
     rows = scored.join(ids, "from_account", "left_semi")
     totals = rows.groupBy("from_account").agg(
         F.count("*").alias("txn_count"), F.sum("amount_paid").alias("total_amount"),

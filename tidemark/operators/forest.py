@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass
 
 import numpy as np
@@ -168,7 +169,7 @@ def raw_scores(df: DataFrame, forest: Forest) -> DataFrame:
 def score_forest(df: DataFrame, forest: Forest) -> DataFrame:
     """Add ``iso_score`` and ``ml_score`` in 0..1 and ``anomaly_label``."""
     span = forest.raw_max - forest.raw_min
-    scaled = (F.col("_raw") - forest.raw_min) / F.lit(span) if span > 0 else F.lit(0.0)
+    scaled = (F.col("_raw") - forest.raw_min) / F.lit(span) if span > sys.float_info.epsilon else F.lit(0.0)
     return (raw_scores(df, forest)
             .withColumn("ml_score", F.greatest(F.least(scaled, F.lit(1.0)), F.lit(0.0)))
             .withColumn("iso_score", F.col("ml_score"))

@@ -225,16 +225,11 @@ class GraphResult:
     parts: dict[str, DataFrame]
 
 
-def find_patterns(df: DataFrame, *, max_results: int = 100, max_rows: int | None = None,
+def find_patterns(df: DataFrame, *, max_results: int = 100,
                   policy: GraphPolicy = GraphPolicy()) -> GraphResult:
-    """All pattern reports of a transaction set, each a lazy frame.
-
-    ``max_rows`` skips the search for larger inputs; there is no such limit by default.
-    """
-    if max_results < 1 or (max_rows is not None and max_rows < 1):
-        raise ValueError("limits must be positive")
-    if max_rows is not None and df.limit(max_rows + 1).count() > max_rows:
-        return GraphResult("skipped", f"more than {max_rows} rows", {})
+    """All pattern reports of a transaction set, each a lazy frame."""
+    if max_results < 1:
+        raise ValueError("max_results must be positive")
     edges = build_edges(df)
     return GraphResult("ok", "Graph analysis completed.", {
         "summary": graph_summary(df, edges),

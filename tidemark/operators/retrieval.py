@@ -69,7 +69,8 @@ def idf_search(docs: DataFrame, queries: DataFrame, k: int = 2, *,
     n = docs.count()
     asked = q.select("query_id", F.explode("toks").alias("token"))
     tagged = has_type and "typologies" in docs.columns
-    body = F.concat_ws(" ", "text", F.array_join("typologies", " ")) if tagged else F.col("text")
+    parts = ["title"] if "title" in docs.columns else []
+    body = F.concat_ws(" ", *parts, *([F.array_join("typologies", " ")] if tagged else []), "text")
     tags = F.col("typologies") if tagged else F.array().cast("array<string>")
     hits = (docs.select("doc_id", tags.alias("tags"),
                         F.explode(F.array_distinct(tokens(body))).alias("token"))

@@ -147,10 +147,11 @@ def alert_notes(actions: DataFrame) -> DataFrame:
                    .select("alert_id", "seq", note_line().alias("line")))
 
 
-def notes_page(actions: DataFrame, alert: str, *, limit: int = 100, offset: int = 0) -> DataFrame:
-    """One alert's notes in writing order, as one text per page."""
+def notes_page(actions: DataFrame, alert: str, *, limit: int | None = None, offset: int = 0) -> DataFrame:
+    """One alert's notes in writing order as one text, or a page of them if ``limit`` is given."""
     page = (alert_notes(actions).where(F.col("alert_id") == alert)
-            .orderBy("seq").offset(offset).limit(limit))
+            .orderBy("seq").offset(offset))
+    page = page if limit is None else page.limit(limit)
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
     return page.groupBy("alert_id").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("notes"))

@@ -53,13 +53,6 @@ def full_scored(spark: SparkSession, sf: str) -> DataFrame:
     return risk.recommend(risk.score_risk(stats.add_statistics(ruled, txn_bounds(t))))
 
 
-def light_scored(spark: SparkSession, sf: str) -> DataFrame:
-    """Rules that need no look-back, statistics, risk and action."""
-    t = views.txn(spark, sf)
-    ruled = rules.apply_rules(t, ["single_large"])
-    return risk.recommend(risk.score_risk(stats.add_statistics(ruled, txn_bounds(t))))
-
-
 def knowledge(spark: SparkSession, sf: str) -> DataFrame:
     t = views.txn(spark, sf)
     return t.select(
@@ -71,7 +64,7 @@ def knowledge(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
-    found = evidence.best_rows(light_scored(spark, sf), KEY)
+    found = evidence.best_rows(full_scored(spark, sf), KEY)
     number = F.substring("entity_id", 2, 20).cast("long")
     inv = F.concat(F.lit("INV-"), (number % 7).cast("string"))
     return workflow.alerts_from_findings(
@@ -354,12 +347,12 @@ def risk_scores(spark, sf):
     return full_scored(spark, sf).select("event_id", r("risk_score"), "risk_label")
 
 
-@query("escalation", O.with_(*O.LIGHT) + "SELECT event_id, round(risk_score, 6) AS risk_score, escalation_action FROM scored")
+@query("escalation", O.with_(*O.FULL) + "SELECT event_id, round(risk_score, 6) AS risk_score, escalation_action FROM scored")
 def escalation(spark, sf):
-    return light_scored(spark, sf).select("event_id", r("risk_score"), "escalation_action")
+    return full_scored(spark, sf).select("event_id", r("risk_score"), "escalation_action")
 
 
-@query("entity_risk", O.with_(*O.LIGHT) + """, sig AS (
+@query("entity_risk", O.with_(*O.FULL) + """, sig AS (
   SELECT from_account AS e, 0.40 AS w, max(rule_score) AS s, bool_or(""" + O.COUNTRY + """) AS c FROM scored GROUP BY 1
   UNION ALL SELECT from_account, 0.20, max(stat_score), false FROM scored GROUP BY 1),
 fl AS (SELECT from_account AS e, array_to_string(list_sort(list_distinct(flatten(list(rule_flags)))), ',') AS flags
@@ -372,7 +365,7 @@ SELECT d.e AS entity_id, round(strongest_score, 6) AS strongest_score, flags, ri
   CASE WHEN risk_score < 0.45 THEN 'monitor' WHEN risk_score < 0.75 THEN 'flag_for_review' ELSE 'report' END
     AS escalation_action FROM d JOIN fl USING (e)""")
 def entity_risk(spark, sf):
-    scored = light_scored(spark, sf)
+    scored = full_scored(spark, sf)
     named = scored.withColumn("_f", F.explode_outer("rule_flags"))
     by_rule = named.groupBy(F.col("from_account").alias("entity_id")).agg(
         F.lit("rule_engine").alias("detector"), F.max("rule_score").alias("score"),
@@ -394,11 +387,11 @@ def flagged_entities(spark, sf):
         "from_account", "event_id", r("risk_score"), "risk_label", text_list("rule_flags"))
 
 
-@query("flag_summary", O.with_(*O.LIGHT) + """SELECT CAST(sum(n) AS BIGINT) AS total_analyzed,
+@query("flag_summary", O.with_(*O.FULL) + """SELECT CAST(sum(n) AS BIGINT) AS total_analyzed,
   count(*) FILTER (WHERE top >= 0.35) AS flagged, count(*) FILTER (WHERE top >= 0.70) AS high_risk
   FROM (SELECT from_account, count(*) AS n, max(risk_score) AS top FROM scored GROUP BY 1) q""")
 def flag_summary(spark, sf):
-    return evidence.flag_summary(light_scored(spark, sf))
+    return evidence.flag_summary(full_scored(spark, sf))
 
 
 @query("entity_evidence_top5", O.with_(views.TXN_CTE) + """SELECT from_account, event_id, amount_paid,
@@ -573,16 +566,16 @@ def amount_percentiles(spark, sf):
     return profile.amount_percentiles(views.ledger(spark, sf)).select("percentile", r("amount"))
 
 
-@query("risk_distribution", O.with_(*O.LIGHT)
+@query("risk_distribution", O.with_(*O.FULL)
        + "SELECT risk_label AS label, count(*) AS row_count FROM scored GROUP BY 1")
 def risk_distribution(spark, sf):
-    return profile.label_distribution(light_scored(spark, sf))
+    return profile.label_distribution(full_scored(spark, sf))
 
 
-@query("risk_level_counts", O.with_(*O.LIGHT, O.best()) + """SELECT l AS label, count(from_account) AS row_count
+@query("risk_level_counts", O.with_(*O.FULL, O.best()) + """SELECT l AS label, count(from_account) AS row_count
   FROM (VALUES ('low'), ('medium'), ('high')) v(l) LEFT JOIN best ON risk_label = l GROUP BY 1""")
 def risk_level_counts(spark, sf):
-    return profile.risk_level_counts(evidence.best_rows(light_scored(spark, sf), KEY))
+    return profile.risk_level_counts(evidence.best_rows(full_scored(spark, sf), KEY))
 
 
 @query("weekday_hour_grid", O.with_(views.TXN_CTE) + """SELECT CAST(g // 24 AS INTEGER) AS weekday,
@@ -771,7 +764,7 @@ def drift_report(spark, sf):
 
 # ---- workflow ------------------------------------------------------------------------
 
-@query("alerts_from_findings", O.with_(*O.LIGHT, O.best(), O.ALERTS) + """SELECT alert_id, entity_id,
+@query("alerts_from_findings", O.with_(*O.FULL, O.best(), O.ALERTS) + """SELECT alert_id, entity_id,
   investigation_id, round(risk_score, 6) AS risk_score, risk_label, escalation_action, created_at, sla_hours,
   status, disposition FROM alerts""")
 def alerts_from_findings(spark, sf):
@@ -787,7 +780,7 @@ def queue_state(spark, sf):
                                    "note_count", "last_note")
 
 
-@query("queue_state_governed", O.with_(*O.LIGHT, O.best(), O.ALERTS, O.ACTIONS) + """SELECT a.alert_id,
+@query("queue_state_governed", O.with_(*O.FULL, O.best(), O.ALERTS, O.ACTIONS) + """SELECT a.alert_id,
   l.assigned_to, coalesce(l.decided, CASE WHEN l.assigns > 0 THEN 'in_review' END, a.status) AS status,
   coalesce(l.decision, a.disposition) AS disposition FROM alerts a LEFT JOIN (SELECT alert_id,
   arg_max(value, seq) FILTER (WHERE action = 'assign') AS assigned_to,
@@ -896,7 +889,7 @@ def investigation_status(spark, sf):
     return workflow.status_summary(investigations(spark, sf, queued), queued)
 
 
-@query("audit_page", O.with_(*O.LIGHT, O.best(), O.ALERTS, O.ACTIONS) + """SELECT c.alert_id, a.actor,
+@query("audit_page", O.with_(*O.FULL, O.best(), O.ALERTS, O.ACTIONS) + """SELECT c.alert_id, a.actor,
   'alert_assigned' AS event_type, a.acted AS created_at, '{"assigned_to":"' || a.value || '"}' AS payload,
   c.investigation_id FROM actions a JOIN alerts c USING (alert_id) WHERE a.action = 'assign'
   ORDER BY a.acted DESC LIMIT 50""")
@@ -907,7 +900,7 @@ def audit_page(spark, sf):
         "alert_id", "actor", "event_type", "created_at", "payload", "investigation_id")
 
 
-@query("audit_event_counts", O.with_(*O.LIGHT, O.best(), O.ALERTS, O.ACTIONS) + """SELECT event_type, count(*) AS event_count
+@query("audit_event_counts", O.with_(*O.FULL, O.best(), O.ALERTS, O.ACTIONS) + """SELECT event_type, count(*) AS event_count
   FROM (SELECT 'alert_created' AS event_type FROM alerts UNION ALL
   SELECT 'investigation_completed' FROM (SELECT DISTINCT investigation_id FROM alerts) i UNION ALL
   SELECT CASE action WHEN 'assign' THEN 'alert_assigned' WHEN 'disposition' THEN 'alert_dispositioned'
@@ -975,7 +968,7 @@ def bm25_topk(spark, sf):
     return retrieval.bm25_search(docs, queries.drop("typology"))
 
 
-_IDF = """, ds AS (SELECT doc_id, lang, list_distinct(list_append(t, lang)) AS t FROM d JOIN documents USING (doc_id)),
+_IDF = """, ds AS (SELECT doc_id, lang, list_distinct(list_concat(t, [lang, 'document', CAST(doc_id AS VARCHAR)])) AS t FROM d JOIN documents USING (doc_id)),
 q1 AS (SELECT item_id AS query_id, CASE WHEN item_id % 2 = 0 THEN 'fr' END AS ty,
   list_distinct(regexp_extract_all(lower(concat_ws(' ', text, CASE WHEN item_id % 2 = 0 THEN 'fr' END)), '[a-z0-9]+'))
   AS t FROM benchmark),
@@ -1025,10 +1018,10 @@ resolved AS (SELECT k.*, coalesce(t.typology_name, 'Unclassified AML anomaly') A
   FROM keyed k LEFT JOIN typologies t USING (typology))"""
 
 
-@query("typology_resolve", O.with_(*O.LIGHT, O.TYPOLOGY_VALUES, _RESOLVED.format(source="scored"))
+@query("typology_resolve", O.with_(*O.FULL, O.TYPOLOGY_VALUES, _RESOLVED.format(source="scored"))
        + "SELECT event_id, typology, typology_name, typology_label, reg_ref FROM resolved")
 def typology_resolve(spark, sf):
-    return evidence.resolve_typology(light_scored(spark, sf)).select(
+    return evidence.resolve_typology(full_scored(spark, sf)).select(
         "event_id", "typology", "typology_name", "typology_label", "reg_ref")
 
 
@@ -1037,7 +1030,7 @@ _TEXTS = f"""texts AS (SELECT *, CASE WHEN typology_label = '' THEN '{P.UNCLASSI
   format('{{:.4f}}', risk_score) AS rs FROM resolved)"""
 
 
-@query("explained_entities", O.with_(*O.LIGHT, O.best(), _TOP20, O.TYPOLOGY_VALUES,
+@query("explained_entities", O.with_(*O.FULL, O.best(), _TOP20, O.TYPOLOGY_VALUES,
                                      _RESOLVED.format(source="top20"), _TEXTS) + """SELECT from_account, event_id, typology_label,
   'Entity ' || from_account || ' received a composite risk score of ' || rs || ' from the detectors that ran. '
   || 'Observed rule signals were ' || CASE WHEN len(rule_flags) > 0 THEN array_to_string(rule_flags, ', ') ELSE 'none' END
@@ -1045,19 +1038,19 @@ _TEXTS = f"""texts AS (SELECT *, CASE WHEN typology_label = '' THEN '{P.UNCLASSI
   'Review entity ' || from_account || ' for activity consistent with ' || lbl
   || '; the observed composite risk score is ' || rs || '.' AS sar_draft, reg_ref AS citation FROM texts""")
 def explained_entities(spark, sf):
-    return evidence.explained_entities(light_scored(spark, sf), KEY).select(
+    return evidence.explained_entities(full_scored(spark, sf), KEY).select(
         "from_account", "event_id", "typology_label", "explanation", "sar_draft", "citation")
 
 
-def light_entities(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.flagged_entities(shared(light_scored(spark, sf)), KEY, limit=None)
+def flagged_records(spark: SparkSession, sf: str) -> DataFrame:
+    return evidence.flagged_entities(shared(full_scored(spark, sf)), KEY, limit=None)
 
 
 _ENTITY = """tot AS (SELECT from_account, count(*) AS txn_count, sum(amount_paid) AS total_amount, min(timestamp) AS s,
   max(timestamp) AS e, count(DISTINCT to_account) AS distinct_counterparties FROM txn GROUP BY 1),
 ev AS (SELECT from_account, string_agg(event_id || ':' || to_account, ',' ORDER BY rn) AS evidence FROM (SELECT *,
   row_number() OVER (PARTITION BY from_account ORDER BY amount_paid DESC, event_id) AS rn FROM txn) q WHERE rn <= 5 GROUP BY 1)"""
-_ENTITIES = [*O.LIGHT, O.best(), O.TYPOLOGY_VALUES, _RESOLVED.format(source="best"), _ENTITY]
+_ENTITIES = [*O.FULL, O.best(), O.TYPOLOGY_VALUES, _RESOLVED.format(source="best"), _ENTITY]
 
 
 @query("flagged_entity_structs", O.with_(*_ENTITIES) + """SELECT from_account AS entity_id, round(risk_score, 6) AS risk_score,
@@ -1066,7 +1059,7 @@ _ENTITIES = [*O.LIGHT, O.best(), O.TYPOLOGY_VALUES, _RESOLVED.format(source="bes
 def flagged_entity_structs(spark, sf):
     listed = F.transform("top_transactions",
                          lambda x: F.concat(x["txn_id"], F.lit(":"), x["to_account"]))
-    return light_entities(spark, sf).select(
+    return flagged_records(spark, sf).select(
         "entity_id", r("risk_score"), "risk_label", "txn_count", r("total_amount", 2),
         F.col("observation_window.start").alias("window_start"),
         F.col("observation_window.end").alias("window_end"), "distinct_counterparties",
@@ -1087,7 +1080,7 @@ _ADVICE = "CASE escalation_action " + " ".join(
      || '.' ELSE '' END || ' {P.INDICATOR_TEXT}' AS explanation, {_ADVICE} AS recommendation
   FROM resolved JOIN tot USING (from_account)""")
 def evidence_narrative(spark, sf):
-    return evidence.narrate(light_entities(spark, sf)).select(
+    return evidence.narrate(flagged_records(spark, sf)).select(
         "entity_id", "explanation", "recommendation")
 
 
@@ -1096,7 +1089,7 @@ def evidence_narrative(spark, sf):
   UNION ALL SELECT 'citations', count(DISTINCT reg_ref) FROM resolved UNION ALL SELECT 'warnings', CAST(0 AS BIGINT)
   UNION ALL SELECT 'checksum', CAST(1 AS BIGINT)""")
 def investigation_package(spark, sf):
-    parts = evidence.package_findings(shared(light_entities(spark, sf)), "INV-2024")
+    parts = evidence.package_findings(shared(flagged_records(spark, sf)), "INV-2024")
     out = None
     for name, df in parts.items():
         row = df.agg(F.lit(name).alias("part"), F.count("*").alias("entries"))

@@ -128,9 +128,6 @@ def with_(*ctes: str) -> str:
 ALL_RULES = list(P.RULE_ORDER)
 FULL = [TXN_CTE, features(), flags(ALL_RULES, "feat"), BOUNDS, statistics("ruled"),
         risk("stated")]
-# Rules and statistics that need no look-back features.
-LIGHT = [TXN_CTE, flags(["single_large", "high_risk_country"], "txn"), BOUNDS,
-         statistics("ruled"), risk("stated")]
 
 TYPOLOGY_VALUES = "typologies(typology, typology_name, typology_label, reg_ref) AS (VALUES " + \
     ", ".join("(" + quoted([k, *v]) + ")" for k, v in P.TYPOLOGIES.items()) + ")"
@@ -168,4 +165,4 @@ FOLDED = """folded AS (
       arg_max('[' || strftime(acted, '%Y-%m-%dT%H:%M:%S') || '] ' || actor || ': ' || value, seq)
         FILTER (WHERE action = 'note') AS last_note
     FROM actions GROUP BY alert_id) l USING (alert_id))"""
-QUEUE = [*LIGHT, best(), ALERTS, ACTIONS, FOLDED]
+QUEUE = [*FULL, best(), ALERTS, ACTIONS, FOLDED]

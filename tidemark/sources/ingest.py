@@ -130,11 +130,11 @@ def ingest_transactions(spark: SparkSession, path: str, table: str, *,
     return publish_table(canonical_transactions(raw), table, force=force)
 
 
-def ingest_knowledge(spark: SparkSession, path: str, table: str, *, normal_rows: int = 50_000,
+def ingest_knowledge(spark: SparkSession, path: str, table: str, *,
                      force: bool = False) -> int:
+    """The whole calibration table; what fits a forest is bounded where it is fitted."""
     raw = read_raw_csv(spark, path)
-    return publish_table(stratified_sample(canonical_knowledge(raw), k=normal_rows), table,
-                         force=force)
+    return publish_table(canonical_knowledge(raw), table, force=force)
 
 
 def ingest_kyc(spark: SparkSession, path: str, table: str, *, force: bool = False) -> int:

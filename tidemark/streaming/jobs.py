@@ -14,7 +14,7 @@ from tidemark.sources.ingest import canonical_transactions
 
 
 def ingest_arrivals(spark: SparkSession, folder: str, target: str, checkpoint: str, *,
-                    pattern: str = "*.csv", max_bytes: int | None = None,
+                    pattern: str = "*.csv",
                     then: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
     """Load every new transaction file once.
 
@@ -26,8 +26,6 @@ def ingest_arrivals(spark: SparkSession, folder: str, target: str, checkpoint: s
                 .option("header", True).option("pathGlobFilter", pattern).csv(folder)
                 .select("*", F.col("_metadata.file_path").alias("file"),
                         F.col("_metadata.file_size").alias("file_size")))
-    if max_bytes is not None:
-        raw = raw.where(F.col("file_size") <= max_bytes)
 
     def load(batch: DataFrame, batch_id: int) -> None:
         rows = canonical_transactions(batch.select(*[f"`{h}`" for h in S.RAW_TRANSACTION_HEADERS]))
