@@ -38,7 +38,8 @@ from tidemark.llm.shared import arrow, keep
 SIZE = 5
 LEAST = 0.8
 T = 64
-SMALL = 256
+#: A bucket of so many sets (a quarter of a megabyte of tokens) is compared in one task.
+SMALL = 1024
 BLOCK = 128
 RECALL = 0.99
 DEPTH = 3
@@ -148,7 +149,7 @@ def _compared(sids: pa.Array, sketches: pa.Array) -> pa.Array:
     out = []
     for ids, own in zip(sids.to_pylist(), sketches.to_pylist()):
         s = np.frombuffer(b"".join(own), np.uint32).reshape(len(ids), T)
-        near = np.stack([(s == row).mean(1) >= LEAST - SLACK for row in s])
+        near = np.stack([np.count_nonzero(s == row, axis=1) >= (LEAST - SLACK) * T for row in s])
         root = _spanning(near)
         out.append([{"a": ids[i], "b": ids[r]} for i, r in enumerate(root.tolist()) if r != i])
     return pa.array(out, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])))
