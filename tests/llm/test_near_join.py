@@ -48,7 +48,9 @@ def joined(spark, docs):
     return {r.doc_id: (r.class_id, r.copies, r.n_links, r.n_linked_docs) for r in rows}
 
 
-def test_planted_groups(spark):
+@pytest.mark.parametrize("small", [near_join.SMALL, 40])  # with 40, buckets are split over several levels
+def test_planted_groups(spark, monkeypatch, small):
+    monkeypatch.setattr(near_join, "SMALL", small)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(3000)]
     texts = [" ".join(rng.choice(words) for _ in range(rng.randint(6, 200))) for _ in range(60)]
