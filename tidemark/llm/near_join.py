@@ -42,7 +42,8 @@ T = 64
 SMALL = 1024
 BLOCK = 128
 RECALL = 0.99
-DEPTH = 3
+#: Splits that the number of runs allows for; a deeper bucket adds runs.
+DEPTH = 4
 SEED = 11
 #: Estimates from T tokens stray; this far below the threshold a pair is still a candidate.
 SLACK = 0.2
@@ -182,22 +183,21 @@ def _runs(own: DataFrame, runs: range, seed: int) -> tuple[list[DataFrame], int]
         level = keep(level)
         sizes = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         met = keep(level.join(sizes, "bucket"))
-        small = (met.where(F.col("size") <= SMALL).join(own, "sid").groupBy("bucket")
-                 .agg(F.collect_list(F.struct("sid", "sketch")).alias("s"))
-                 .select(F.explode(_compared(F.col("s.sid"), F.col("s.sketch"))).alias("e")).select("e.*").distinct())
-        found.append(keep(small))
+        # edges are not computed here but all together, by whoever reads them
+        found.append(met.where(F.col("size") <= SMALL).join(own, "sid").groupBy("bucket")
+                     .agg(F.collect_list(F.struct("sid", "sketch")).alias("s"))
+                     .select(F.explode(_compared(F.col("s.sid"), F.col("s.sketch"))).alias("e")).select("e.*"))
         large = met.where(F.col("size") > SMALL)
         if large.isEmpty():
             return found, depth
-        heads = keep(large.groupBy("bucket").agg(F.min_by("sid", F.xxhash64("bucket", "sid")).alias("head"))
-                     .join(own.withColumnRenamed("sid", "head").withColumnRenamed("sketch", "pattern"), "head"))
+        heads = (large.groupBy("bucket").agg(F.min_by("sid", F.xxhash64("bucket", "sid")).alias("head"))
+                 .join(own.withColumnRenamed("sid", "head").withColumnRenamed("sketch", "pattern"), "head"))
         # a head is one row, so the large side of this join can be split
         like = keep(large.join(own, "sid").join(heads, "bucket").select(
             "bucket", "sid", "sketch", "head", _alike("sketch", "pattern").alias("alike")))
-        mean = keep(like.groupBy("bucket").agg(F.avg("alike").alias("mean")))
-        judged = like.join(mean, "bucket")
-        found.append(keep(judged.where((F.col("mean") >= ALIKE) & (F.col("sid") != F.col("head")))
-                          .select(F.col("sid").alias("a"), F.col("head").alias("b")).distinct()))
+        judged = like.join(like.groupBy("bucket").agg(F.avg("alike").alias("mean")), "bucket")
+        found.append(judged.where((F.col("mean") >= ALIKE) & (F.col("sid") != F.col("head")))
+                     .select(F.col("sid").alias("a"), F.col("head").alias("b")))
         level = (judged.where(F.col("mean") < ALIKE)
                  .select("sid", F.explode(_split(seed + depth)("bucket", "sketch")).alias("bucket")))
         depth += 1
@@ -254,7 +254,7 @@ def placed(members: DataFrame) -> DataFrame:
 
     Only counts per size are ordered; within a size a hash deals members out to blocks.
     """
-    sizes = keep(members.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("same")))
+    sizes = members.groupBy("cluster", "n").agg(F.count(F.lit(1)).alias("same"))
     order = Window.partitionBy("cluster").orderBy("n")
     before = sizes.select("cluster", "n", "same", (F.sum("same").over(order) - F.col("same")).alias("before"))
     deal = F.pmod(F.xxhash64("sid"), F.ceil(F.col("same") / BLOCK))
@@ -267,7 +267,7 @@ def verified(members: DataFrame, least: float = LEAST) -> DataFrame:
 
     ``members``: sid, cluster, block, copies, n (size of the set) and own (the set).
     """
-    spans = keep(members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high")))
+    spans = members.groupBy("cluster", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
     x, y = spans.alias("x"), spans.alias("y")
     pairs = keep(x.join(y, (F.col("x.cluster") == F.col("y.cluster")) & (F.col("x.block") <= F.col("y.block"))
                         & (F.col("x.high") >= least * F.col("y.low")))
@@ -287,7 +287,7 @@ def _classes(rows: DataFrame, recall: float = RECALL, least: float = LEAST) -> D
     sets = keep(docs.where("set is not null").groupBy("set").agg(
         F.min("row").alias("sid"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"),
         F.min("sketch").alias("sketch"), F.min("key").alias("least")))
-    clusters = keep(components(candidates(keep(sets.select("sid", "sketch")), recall)))
+    clusters = components(candidates(keep(sets.select("sid", "sketch")), recall))
     chosen = keep(placed(sets.join(clusters, sets.sid == clusters.id).select(
         "sid", F.col("component").alias("cluster"), "copies", "n")))
     # both sides grow with the input, so this is a merge join at every size
@@ -300,7 +300,7 @@ def _classes(rows: DataFrame, recall: float = RECALL, least: float = LEAST) -> D
                     .join(classes.withColumnRenamed("id", "sid"), "sid", "left")
                     .withColumn("component", F.coalesce("component", "sid")))
     low = labelled.groupBy("component").agg(F.min("least").alias("class_id"))
-    of_set = keep(labelled.join(low, "component").select("set", "class_id", "copies", "n_links", "n_linked_docs"))
+    of_set = labelled.join(low, "component").select("set", "class_id", "copies", "n_links", "n_linked_docs")
     return docs.select("key", "row", "set").join(of_set, "set", "left").select(
         "key", "row", F.coalesce("class_id", "key").alias("class_id"),
         *(F.coalesce(c, F.lit(d)).cast("long").alias(c) for c, d in (
