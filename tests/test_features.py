@@ -17,10 +17,8 @@ def test_sample_counts(sample):
     assert rows[5].cross_border_flag == 1
 
 
-@pytest.mark.parametrize("split", [False, True])
-def test_ledger_values(ledger9, split):
-    rows = by_id(features.add_features(ledger9, features.DERIVED, row_key="txn_id",
-                                       split_accounts=split))
+def test_ledger_values(ledger9):
+    rows = by_id(features.add_features(ledger9, features.DERIVED, row_key="txn_id"))
     r = rows[2]
     assert (r.txn_count_7d, r.near_threshold_count, r.rolling_sum_7d) == (3, 3, 27_300.0)
     assert r.fan_out_count == 3
@@ -79,17 +77,15 @@ def random_rows(seed, n=220):
     return rows
 
 
-@pytest.mark.parametrize("split", [False, True])
 @pytest.mark.parametrize("seed", [1, 2])
-def test_features_equal_their_definition(spark, split, seed):
+def test_features_equal_their_definition(spark, seed):
     rows = random_rows(seed)
     df = spark.createDataFrame(rows, "txn_id int, timestamp timestamp, from_account string, "
                                      "to_account string, amount_paid double")
-    got = by_id(features.add_features(df, features.DERIVED, row_key="txn_id",
-                                      split_accounts=split))
+    got = by_id(features.add_features(df, features.DERIVED, row_key="txn_id"))
     for key, want in expected(rows).items():
         for name, value in want.items():
-            assert got[key][name] == pytest.approx(value, abs=1e-6), (key, name, split)
+            assert got[key][name] == pytest.approx(value, abs=1e-6), (key, name)
 
 
 def test_empty_input_keeps_typed_columns(spark):
@@ -125,6 +121,11 @@ def test_amount_alias_and_stale_columns(sample):
     assert rows[2].near_threshold_count == 3 and rows[0].txn_count_7d == 1
 
 
-def test_crowded_accounts_switch_the_plan(sample):
-    assert not features.crowded(sample)
-    assert features.crowded(sample, limit=2)
+@pytest.mark.parametrize("name", features.DERIVED)
+def test_single_features_equal_all(spark, name):
+    df = spark.createDataFrame(random_rows(3), "txn_id int, timestamp timestamp, from_account string, "
+                                               "to_account string, amount_paid double")
+    one = by_id(features.add_features(df, [name], row_key="txn_id"))
+    every = by_id(features.add_features(df, features.DERIVED, row_key="txn_id"))
+    for key, row in every.items():
+        assert one[key][name] == pytest.approx(row[name], abs=1e-6), (key, name)

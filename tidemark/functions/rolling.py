@@ -11,16 +11,21 @@ instant is then
 
 so the work of a key is spread over (key, block) partitions, every running frame grows by
 one row at a time, and nothing is ever subtracted: sums carry no cancellation error.
+All totals of a key use the same blocks, so any number of them is one pass over the points.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Stands for "no timestamp"; sorts after every real instant.
 NO_TIME = 9_223_372_036_854_775_807
-BLOCKS = 48
+# Sorts ahead of every real instant.
+_AHEAD = -NO_TIME
 
 
 def instant(ts: str) -> Column:
@@ -28,93 +33,69 @@ def instant(ts: str) -> Column:
     return F.coalesce(F.unix_micros(F.col(ts).cast("timestamp")), F.lit(NO_TIME))
 
 
-def _block(width: int) -> Column:
-    start = F.col("_t") - F.pmod(F.col("_t"), F.lit(width))
-    return F.when(F.col("_t") != NO_TIME, (start / F.lit(width)).cast("long"))
-
-
-def points(df: DataFrame, key: str, ts: str, measures: dict[str, Column]) -> DataFrame:
-    """One row per (key, instant): ``_k, _t`` and the summed measures."""
-    return (df.select(F.col(key).alias("_k"), instant(ts).alias("_t"),
-                      *[m.alias(n) for n, m in measures.items()])
-              .groupBy("_k", "_t")
-              .agg(*[F.sum(n).alias(n) for n in measures]))
+def _block(t: Column, width: int) -> Column:
+    """Number of the block of an instant; rows without one are a block of their own."""
+    return F.when(t == NO_TIME, F.lit(NO_TIME)).otherwise(F.floor((t - F.pmod(t, F.lit(width))) / width))
 
 
-def sliding(pts: DataFrame, measures: list[str], span_us: int,
-            blocks: int = BLOCKS, asked: str | None = None) -> DataFrame:
-    """Totals over the closed span [t - span, t] for every point (where ``asked`` > 0).
+def totals(pts: DataFrame, spans: dict[str, tuple[str, int]], sums: dict[str, tuple[str, bool]],
+           width: int, asked: str) -> DataFrame:
+    """Totals for each point (one row per ``_k, _t``) with ``asked`` > 0.
 
-    Points without an instant are peers of each other only: their own total stands.
+    ``spans``: name -> (measure, span), the total over the closed span [t - span, t], a whole
+    number of blocks. ``sums``: name -> (measure, before), the total over all instants up to t,
+    or the strictly earlier ones. Points without an instant are peers of each other
+    only in spans, and come last in sums.
     """
-    if span_us % blocks:
-        raise ValueError("the span must be a whole number of blocks")
-    width = span_us // blocks
-    own = pts.withColumn("_b", _block(width))
-    inside = (Window.partitionBy("_k").orderBy("_b").rangeBetween(-(blocks - 1), -1))
-    earlier = _block_totals(own, measures, inside)
-    leaving = (pts.where(F.col("_t") != NO_TIME)
-                  .withColumn("_t", F.col("_t") + F.lit(span_us))
-                  .withColumn("_b", _block(width)))
-    zero = {m: F.lit(0).cast(pts.schema[m].dataType) for m in measures}
-
-    def leg(df: DataFrame, kind: str) -> DataFrame:
-        return df.select(
-            "_k", "_b", "_t", _is_asked(kind == "own", asked).alias("_own"),
-            *[(zero[m] if kind == "leaving" else F.col(m)).alias(m) for m in measures],
-            *[(F.col(m) if kind == "leaving" else zero[m]).alias(f"_tail_{m}")
-              for m in measures])
-
-    at_start = earlier.withColumn("_t", F.col("_b") * F.lit(width))
-    legs = leg(own, "own").unionByName(leg(at_start, "earlier")) \
-                          .unionByName(leg(leaving, "leaving"))
+    if any(span % width for _, span in spans.values()):
+        raise ValueError("a span must be a whole number of blocks")
+    kinds = dict(pts.dtypes)
+    measure = {name: m for name, (m, _) in {**spans, **sums}.items()}
+    t = F.col("_t")
+
+    def zero(name: str) -> Column:
+        return F.lit(0).cast(kinds[measure[name]])
+
+    blocks = Window.partitionBy("_k").orderBy("_b")
+    ahead = {name: F.sum(m).over(blocks.rangeBetween(1 - span // width, -1)) if span > width else zero(name)
+             for name, (m, span) in spans.items()}
+    ahead |= {name: F.sum(m).over(blocks.rowsBetween(Window.unboundedPreceding, -1))
+              for name, (m, _) in sums.items()}
+    earlier = (pts.groupBy("_k", _block(t, width).alias("_b"))
+                  .agg(*[F.sum(m).alias(m) for m in sorted(set(measure.values()))])
+                  .select("_k", F.lit(_AHEAD).alias("_t"), "_b", F.lit(False).alias("_own"),
+                          *[F.coalesce(ahead[n], zero(n)).alias(n) for n in measure],
+                          *[zero(n).alias(f"_tail_{n}") for n in spans]))
+
+    def leg(at: Column, own: Column, leaving: int | None) -> Column:
+        return F.struct(
+            at.alias("_t"), _block(at, width).alias("_b"), own.alias("_own"),
+            *[(F.col(m) if leaving is None else zero(n)).alias(n) for n, m in measure.items()],
+            *[(F.col(m) if span == leaving else zero(n)).alias(f"_tail_{n}")
+              for n, (m, span) in spans.items()])
+
+    legs = [leg(t, F.col(asked) > 0, None)]
+    for span in sorted({span for _, span in spans.values()}):
+        counts = reduce(or_, [F.col(m) != 0 for m, own in spans.values() if own == span])
+        legs.append(F.when((t != NO_TIME) & counts,
+                           leg(F.least(t, F.lit(NO_TIME - span)) + F.lit(span), F.lit(False), span)))
+    both = (pts.select("_k", F.explode(F.filter(F.array(*legs), lambda e: e.isNotNull())).alias("_e"))
+               .select("_k", "_e.*").unionByName(earlier))
     part = Window.partitionBy("_k", "_b")
     up_to = part.orderBy("_t").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    before = part.orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
     from_on = (part.orderBy(F.col("_t").desc())
                    .rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    return (legs.select("_k", "_t", "_own",
-                        *[(F.sum(m).over(up_to) + F.sum(f"_tail_{m}").over(from_on)).alias(m)
-                          for m in measures])
-                .where("_own").drop("_own"))
-
-
-def running(pts: DataFrame, measures: list[str], width_us: int,
-            before: bool = False, asked: str | None = None) -> DataFrame:
-    """Totals over all instants up to each point (strictly earlier ones if ``before``).
-
-    Points without an instant come last, after every dated one.
-    """
-    own = pts.withColumn("_b", F.coalesce(_block(width_us), F.lit(NO_TIME)))
-    ahead = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    earlier = _block_totals(own, measures, ahead)
-    # -(2**63) sorts ahead of any instant of the block.
-    at_start = earlier.withColumn("_t", F.lit(-NO_TIME - 1).cast("long"))
-    legs = own.select("_k", "_b", "_t", _is_asked(True, asked).alias("_own"),
-                      *measures).unionByName(
-        at_start.select("_k", "_b", "_t", F.lit(False).alias("_own"), *measures))
-    frame = (Window.partitionBy("_k", "_b").orderBy("_t")
-                   .rowsBetween(Window.unboundedPreceding, -1 if before else 0))
-    return (legs.select("_k", "_t", "_own",
-                        *[F.coalesce(F.sum(m).over(frame), F.lit(0)).alias(m)
-                          for m in measures])
+    found = {n: F.sum(n).over(up_to) + F.sum(f"_tail_{n}").over(from_on) for n in spans}
+    # what leaves a span at the same instant adds nothing to a running sum
+    found |= {n: F.coalesce(F.sum(n).over(before), zero(n)) if strict else F.sum(n).over(up_to)
+              for n, (_, strict) in sums.items()}
+    return (both.select("_k", "_t", "_own", *[found[n].alias(n) for n in measure])
                 .where("_own").drop("_own"))
 
 
-def _is_asked(own: bool, asked: str | None) -> Column:
-    return F.col(asked) > 0 if own and asked else F.lit(own)
-
-
-def _block_totals(own: DataFrame, measures: list[str], frame) -> DataFrame:
-    totals = (own.where(F.col("_b").isNotNull()).groupBy("_k", "_b")
-                 .agg(*[F.sum(m).alias(m) for m in measures]))
-    return totals.select("_k", "_b", *[
-        F.coalesce(F.sum(m).over(frame), F.lit(0)).cast(own.schema[m].dataType).alias(m)
-        for m in measures])
-
-
-def live_partners(df: DataFrame, key: str, partner: str, ts: str, span_us: int,
-                  blocks: int = BLOCKS) -> DataFrame:
-    """How many distinct partners each (key, instant) saw in [t - span, t], exactly.
+def sittings(df: DataFrame, key: str, partner: str, ts: str, span: int, width: int) -> DataFrame:
+    """(_k, _t, n) whose running sum of n is the number of partners seen in [t - span, t].
 
     A partner counts from an event until one span after it. Events of one pair closer than
     a span merge into one sitting, so the distinct count is the number of open sittings: a
@@ -122,31 +103,24 @@ def live_partners(df: DataFrame, key: str, partner: str, ts: str, span_us: int,
     are always closer than a span, so a pair shrinks to its first and last instant per
     block before anything is ordered.
     """
-    width = span_us // blocks
     rows = df.select(F.col(key).alias("_k"), F.col(partner).alias("_p"),
                      instant(ts).alias("_t"))
     per_block = (rows.where(F.col("_t") != NO_TIME)
-                     .groupBy("_k", "_p", _block(width).alias("_b"))
+                     .groupBy("_k", "_p", _block(F.col("_t"), width).alias("_b"))
                      .agg(F.min("_t").alias("_first"), F.max("_t").alias("_last")))
     pair = Window.partitionBy("_k", "_p").orderBy("_b")
     edges = per_block.select(
         "_k", "_first", "_last",
         (F.col("_first") - F.lag("_last").over(pair)).alias("_gap_before"),
         (F.lead("_first").over(pair) - F.col("_last")).alias("_gap_after"))
-    opens = F.when(F.col("_gap_before").isNull() | (F.col("_gap_before") > span_us),
+    opens = F.when(F.col("_gap_before").isNull() | (F.col("_gap_before") > span),
                    F.struct(F.col("_first").alias("t"), F.lit(1).cast("long").alias("d")))
-    closes = F.when(F.col("_gap_after").isNull() | (F.col("_gap_after") > span_us),
-                    F.struct((F.col("_last") + F.lit(span_us + 1)).alias("t"),
+    closes = F.when(F.col("_gap_after").isNull() | (F.col("_gap_after") > span),
+                    F.struct((F.col("_last") + F.lit(span + 1)).alias("t"),
                              F.lit(-1).cast("long").alias("d")))
-    deltas = (edges.select("_k", F.explode(F.filter(F.array(opens, closes),
-                                                    lambda e: e.isNotNull())).alias("_e"))
-                   .select("_k", F.col("_e.t").alias("_t"), F.col("_e.d").alias("n"),
-                           F.lit(0).alias("_probe")))
-    probes = rows.where(F.col("_t") != NO_TIME).select(
-        "_k", "_t", F.lit(0).cast("long").alias("n"), F.lit(1).alias("_probe"))
-    pts = (deltas.unionByName(probes).groupBy("_k", "_t")
-                 .agg(F.sum("n").alias("n"), F.max("_probe").alias("_probe")))
-    return running(pts, ["n"], width, asked="_probe")
+    return (edges.select("_k", F.explode(F.filter(F.array(opens, closes),
+                                                  lambda e: e.isNotNull())).alias("_e"))
+                 .select("_k", F.col("_e.t").alias("_t"), F.col("_e.d").alias("n")))
 
 
 def attach(df: DataFrame, key: str, ts: str, found: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tidemark.schema import require_columns
 
 DERIVED = sorted({f for fs in FEATURE_FAMILIES.values() for f in fs})
 _US = 1_000_000
+_MEASURES = {"_n": "long", "_near": "long", "_sum": "double", "_credit": "double", "_open": "long"}
 
 
 def canonical_input(df: DataFrame) -> DataFrame:
@@ -61,35 +63,19 @@ def features_for(df: DataFrame, patterns: list[str] | None = None, *,
                         row_key=row_key)
 
 
-def crowded(df: DataFrame, limit: int = 20_000) -> bool:
-    """Whether any account holds more rows than a plain window should take in one task.
-
-    One lean job: two columns, partially aggregated before the shuffle, one number back.
-    """
-    ends = df.select(F.explode(F.array(
-        F.struct(F.lit("from").alias("side"), F.col("from_account").alias("account")),
-        F.struct(F.lit("to").alias("side"), F.col("to_account").alias("account")))).alias("e"))
-    busiest = ends.groupBy("e").count().agg(F.max("count")).first()[0]
-    return (busiest or 0) > limit
-
-
 def add_features(df: DataFrame, wanted: Iterable[str], *, row_key: str | None = None,
-                 policy: FeaturePolicy = FeaturePolicy(),
-                 split_accounts: bool | None = None) -> DataFrame:
+                 policy: FeaturePolicy = FeaturePolicy()) -> DataFrame:
     """Add the wanted feature columns.
 
-    While every account is small, plain windows are the cheapest plan: one exchange per
-    side. Once an account is large (``crowded``), or when ``split_accounts`` says so, the
-    same values come from block totals that spread one account over many tasks.
+    There is one plan at every size: per side of the transfer, points and blocks (``rolling``)
+    that spread one account over many tasks, met by the rows in one join.
     ``row_key`` orders simultaneous rows of an account for ``amount_deviation``; without it
     a hash of the row does.
     """
     wanted = set(wanted)
     rows = canonical_input(df)
     if wanted - {"cross_border_flag"}:
-        if split_accounts is None:
-            split_accounts = crowded(rows)
-        rows = (_split if split_accounts else _plain)(rows, wanted, row_key, policy)
+        rows = _look_back(rows, wanted, row_key, policy)
     if "cross_border_flag" in wanted:
         rows = rows.withColumn("cross_border_flag", cross_border(rows))
     filled = {}
@@ -111,64 +97,8 @@ def _near(policy: FeaturePolicy) -> Column:
     return F.when((amount >= policy.near_low) & (amount < policy.near_high), 1).otherwise(0)
 
 
-def _plain(rows: DataFrame, wanted: set[str], row_key: str | None,
-           policy: FeaturePolicy) -> DataFrame:
-    """Windows over the rows themselves."""
-    amount = F.coalesce(F.col("amount_paid"), F.lit(0.0))
-    dated = F.col("_t") != rolling.NO_TIME
-    df = rows.withColumns({"_t": rolling.instant("timestamp"), "_k": F.col("from_account"),
-                           "_row": F.lit(True)})
-    sender = wanted & {"txn_count_7d", "rolling_sum_7d", "near_threshold_count",
-                       "velocity_1hr", "fan_out_count", "recent_inflow_24h",
-                       "amount_deviation"}
-    if sender:
-        if "recent_inflow_24h" in wanted:
-            # What an account receives lies beside what it sends, as rows of its own key.
-            credits = df.where(dated).select(
-                F.col("to_account").alias("_k"), "_t", amount.alias("_credit"),
-                F.lit(False).alias("_row"))
-            df = df.withColumn("_credit", F.lit(None).cast("double")).unionByName(
-                credits, allowMissingColumns=True)
-        here = Window.partitionBy("_k").orderBy("_t")
-
-        def back(seconds: int):
-            return here.rangeBetween(-seconds * _US, Window.currentRow)
-
-        mine = F.col("_row")
-        week, hour = back(policy.week_s), back(policy.hour_s)
-        values = {
-            "txn_count_7d": F.count(F.when(mine, 1)).over(week),
-            "rolling_sum_7d": F.sum(F.when(mine, amount)).over(week),
-            "near_threshold_count": F.sum(F.when(mine, _near(policy))).over(week),
-            "velocity_1hr": F.count(F.when(mine, 1)).over(hour),
-            "fan_out_count": F.when(dated, F.size(F.collect_set(
-                F.when(mine, F.col("to_account"))).over(back(policy.fan_s)))),
-        }
-        if "recent_inflow_24h" in wanted:
-            values["recent_inflow_24h"] = F.when(
-                dated, F.sum("_credit").over(back(policy.inflow_s)))
-        if "amount_deviation" in wanted:
-            prior = (Window.partitionBy("_k").orderBy("_t", _row_order(rows, row_key))
-                           .rowsBetween(Window.unboundedPreceding, -1))
-            values["_mean"] = F.avg(F.when(mine, amount)).over(prior)
-        names = [n for n in values if n in wanted or n == "_mean"]
-        df = (df.select("*", *[values[n].alias(n) for n in names])
-                .where("_row").drop("_credit"))
-        if "amount_deviation" in wanted:
-            df = df.withColumn("amount_deviation", _deviation(amount, F.col("_mean"))) \
-                   .drop("_mean")
-    if wanted & {"fan_in_count", "fan_in_sum_48h"}:
-        recent = (Window.partitionBy("to_account").orderBy("_t")
-                        .rangeBetween(-policy.fan_s * _US, Window.currentRow))
-        values = {"fan_in_sum_48h": F.sum(amount).over(recent),
-                  "fan_in_count": F.when(
-                      dated, F.size(F.collect_set("from_account").over(recent)))}
-        df = df.select("*", *[v.alias(n) for n, v in values.items() if n in wanted])
-    return df.drop("_t", "_k", "_row")
-
-
-def _split(rows: DataFrame, wanted: set[str], row_key: str | None,
-           policy: FeaturePolicy) -> DataFrame:
+def _look_back(rows: DataFrame, wanted: set[str], row_key: str | None,
+               policy: FeaturePolicy) -> DataFrame:
     """Points and blocks per side, met by the rows in one join per side."""
     result = rows
     for key, found in (("from_account", _sender_side(rows, wanted, policy)),
@@ -180,74 +110,60 @@ def _split(rows: DataFrame, wanted: set[str], row_key: str | None,
     return result
 
 
-def _merge(parts: list[DataFrame]) -> DataFrame | None:
-    """Several per-point tables as one, a single shuffle on (key, instant)."""
-    if not parts:
+def _width(policy: FeaturePolicy) -> int:
+    """The block that all spans are whole numbers of."""
+    return gcd(policy.week_s, policy.hour_s, policy.inflow_s, policy.fan_s) * _US
+
+
+def _totals(rows: DataFrame, ends: list[tuple[str, int, dict[str, Column]]],
+            partner: str | None, spans: dict[str, tuple[str, int]],
+            sums: dict[str, tuple[str, bool]], policy: FeaturePolicy) -> DataFrame | None:
+    """Totals of one side. ``ends``: (account column, whether it asks, measures) of each row;
+    those that don't ask need an instant. ``partner``: whom an account's sittings are with."""
+    used = {m for m, _ in [*spans.values(), *sums.values()]}
+    if not used:
         return None
-    if len(parts) == 1:
-        return parts[0]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part, allowMissingColumns=True)
-    names = [c for c in merged.columns if c not in ("_k", "_t")]
-    return merged.groupBy("_k", "_t").agg(*[F.max(c).alias(c) for c in names])
+
+    def point(key: Column, t: Column, asks: int, values: dict[str, Column]) -> list[Column]:
+        return [key.alias("_k"), t.alias("_t"), F.lit(asks).alias("_ask"),
+                *[values.get(m, F.lit(0)).cast(_MEASURES[m]).alias(m) for m in sorted(used)]]
+
+    t = rolling.instant("timestamp")
+    legs = [F.when(F.lit(bool(asks)) | F.col("timestamp").isNotNull(),
+                   F.struct(*point(F.col(key), t, asks, values)))
+            for key, asks, values in ends if asks or used & set(values)]
+    pts = rows.select(F.explode(F.filter(F.array(*legs), lambda e: e.isNotNull())).alias("_e")) \
+              .select("_e.*")
+    if "_open" in used:
+        changes = rolling.sittings(rows, ends[0][0], partner, "timestamp", policy.fan_s * _US,
+                                   _width(policy))
+        pts = pts.unionByName(changes.select(*point(F.col("_k"), F.col("_t"), 0,
+                                                    {"_open": F.col("n")})))
+    pts = pts.groupBy("_k", "_t").agg(F.max("_ask").alias("_ask"),
+                                      *[F.sum(m).alias(m) for m in sorted(used)])
+    return rolling.totals(pts, {n: (m, span * _US) for n, (m, span) in spans.items()}, sums,
+                          _width(policy), "_ask")
 
 
 def _sender_side(rows: DataFrame, wanted: set[str], policy: FeaturePolicy) -> DataFrame | None:
     amount = F.coalesce(F.col("amount_paid"), F.lit(0.0))
-    weekly = {
-        "txn_count_7d": F.lit(1).cast("long"),
-        "rolling_sum_7d": amount,
-        "near_threshold_count": _near(policy).cast("long"),
-    }
-    parts = []
-    names = [n for n in weekly if n in wanted]
-    if names:
-        pts = rolling.points(rows, "from_account", "timestamp", {n: weekly[n] for n in names})
-        parts.append(rolling.sliding(pts, names, policy.week_s * _US))
-    if "velocity_1hr" in wanted:
-        pts = rolling.points(rows, "from_account", "timestamp",
-                             {"velocity_1hr": F.lit(1).cast("long")})
-        parts.append(rolling.sliding(pts, ["velocity_1hr"], policy.hour_s * _US))
-    if "fan_out_count" in wanted:
-        parts.append(rolling.live_partners(rows, "from_account", "to_account", "timestamp",
-                                           policy.fan_s * _US)
-                            .withColumnRenamed("n", "fan_out_count"))
-    if "recent_inflow_24h" in wanted:
-        parts.append(_inflow(rows, policy))
+    spans = {"txn_count_7d": ("_n", policy.week_s), "rolling_sum_7d": ("_sum", policy.week_s),
+             "near_threshold_count": ("_near", policy.week_s), "velocity_1hr": ("_n", policy.hour_s),
+             "recent_inflow_24h": ("_credit", policy.inflow_s)}
+    sums = {"fan_out_count": ("_open", False)} if "fan_out_count" in wanted else {}
     if "amount_deviation" in wanted:
-        pts = rolling.points(rows, "from_account", "timestamp",
-                             {"_prior_sum": amount, "_prior_n": F.lit(1).cast("long")})
-        parts.append(rolling.running(pts, ["_prior_sum", "_prior_n"], 3_600 * _US, before=True))
-    return _merge(parts)
+        sums |= {"_prior_sum": ("_sum", True), "_prior_n": ("_n", True)}
+    ends = [("from_account", 1, {"_n": F.lit(1), "_sum": amount, "_near": _near(policy)}),
+            ("to_account", 0, {"_credit": amount})]
+    return _totals(rows, ends, "to_account", {n: v for n, v in spans.items() if n in wanted},
+                   sums, policy)
 
 
 def _receiver_side(rows: DataFrame, wanted: set[str], policy: FeaturePolicy) -> DataFrame | None:
-    parts = []
-    if "fan_in_sum_48h" in wanted:
-        pts = rolling.points(rows, "to_account", "timestamp",
-                             {"fan_in_sum_48h": F.coalesce("amount_paid", F.lit(0.0))})
-        parts.append(rolling.sliding(pts, ["fan_in_sum_48h"], policy.fan_s * _US))
-    if "fan_in_count" in wanted:
-        parts.append(rolling.live_partners(rows, "to_account", "from_account", "timestamp",
-                                           policy.fan_s * _US)
-                            .withColumnRenamed("n", "fan_in_count"))
-    return _merge(parts)
-
-
-def _inflow(rows: DataFrame, policy: FeaturePolicy) -> DataFrame:
-    """What the sender received in the last day: credits keyed by receiver, asked by sender."""
-    dated = rows.where(F.col("timestamp").isNotNull())
-    t = rolling.instant("timestamp")
-    asks = dated.select(F.col("from_account").alias("_k"), t.alias("_t"),
-                        F.lit(0.0).alias("recent_inflow_24h"), F.lit(1).alias("_ask"))
-    credits = dated.select(F.col("to_account").alias("_k"), t.alias("_t"),
-                           F.coalesce("amount_paid", F.lit(0.0)).alias("recent_inflow_24h"),
-                           F.lit(0).alias("_ask"))
-    pts = (asks.unionByName(credits).groupBy("_k", "_t")
-               .agg(F.sum("recent_inflow_24h").alias("recent_inflow_24h"),
-                    F.max("_ask").alias("_ask")))
-    return rolling.sliding(pts, ["recent_inflow_24h"], policy.inflow_s * _US, asked="_ask")
+    spans = {"fan_in_sum_48h": ("_sum", policy.fan_s)} if "fan_in_sum_48h" in wanted else {}
+    sums = {"fan_in_count": ("_open", False)} if "fan_in_count" in wanted else {}
+    ends = [("to_account", 1, {"_sum": F.coalesce(F.col("amount_paid"), F.lit(0.0))})]
+    return _totals(rows, ends, "from_account", spans, sums, policy)
 
 
 def _deviation(amount: Column, mean: Column) -> Column:

@@ -296,9 +296,8 @@ _feature("features_all", features.DERIVED)
        + ", ".join(c if c in P.INTEGER_FEATURES else f"round({c}, 6) AS {c}"
                    for c in features.DERIVED) + " FROM feat")
 def features_split_accounts(spark, sf):
-    """The same features by the plan for large accounts."""
-    df = features.add_features(views.txn(spark, sf), features.DERIVED, row_key=KEY,
-                               split_accounts=True)
+    """All features by name; large accounts are split as small ones are."""
+    df = features.add_features(views.txn(spark, sf), features.DERIVED, row_key=KEY)
     return df.select("event_id", *[c if c in P.INTEGER_FEATURES else r(c)
                                    for c in features.DERIVED])
 
