@@ -125,6 +125,23 @@ def test_secrets(spark):
     assert (out.text, out.n_chars) == ("é [secret] x", 12)
 
 
+def test_private_keys_go_with_their_body(spark):
+    rng = random.Random(8)
+    line = lambda n=64: "".join(rng.choice("ABCXYZabcxyz0189+/") for _ in range(n))
+    body = "\n".join([*(line() for _ in range(20)), line(30) + "=="])
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0F1E2D3C4B5A6978\n\n"
+    block = "PRIVATE KEY BLOCK-----"
+    whole = [f"{begin}\n{body}\n{end}", f"{begin}\r\n{lines}{body}\r\n{end}", f"{begin}\n{body}\n{end}".replace("\n", "\\n"),
+             f"-----BEGIN PGP {block}\nVersion: x-1\n\n{body}\n=aBc1\n-----END PGP {block}", f"# {begin}\n# {body}\n# {end}"[2:],
+             f"{begin}\n{lines}{body}", begin]
+    texts = [f"é before {x}\nafter it, more." for x in whole] + [f"{whole[0]} and {whole[0]}"]
+    rows = secret_scan.redact(docs_frame(spark, texts)).orderBy("doc_id").collect()
+    assert [r.text for r in rows] == ["é before [secret]\nafter it, more."] * len(whole) + ["[secret] and [secret]"]
+    public = whole[0].replace("PRIVATE", "PUBLIC")
+    assert not any(k == "private_key" for k, *_ in secret_scan.scanner().spans(public))
+
+
 @pytest.mark.parametrize("pattern", ["a(b|c)*d", "(ab|a)(bc)?", "[^a-c]{2,3}x", "a.c+", "x?y{2}z*"])
 def test_automata_match_like_an_expression_engine(pattern):
     scanner = secret_scan.Scanner((secret_scan.Rule("r", pattern),))

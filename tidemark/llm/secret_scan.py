@@ -38,13 +38,19 @@ class Rule:
     least_tail: int = 0
 
 
+#: A private key from its BEGIN line to the END line, whatever stands between them except five dashes. Where
+#: the END line is missing, the header lines and the runs of 16 or more base64 characters that follow.
+_PEM = (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:[\x20\t\r\n\"',>#|+]|\\[nr])+(?:[A-Za-z0-9-]+:\x20[^\r\n\\-]*|=?[A-Za-z0-9+/]{16,}={0,2}))*)")
+
 #: The base kinds, in their order, then what this scan adds.
 RULES = (
     Rule("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""",
          tail=r"""[:=]\x20*["']?""", least_tail=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", _PEM),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", r"xox[baprs]-[A-Za-z0-9-]+", least=20),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
