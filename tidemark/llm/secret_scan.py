@@ -8,14 +8,17 @@ states say at which byte a match of which rule begins. From the leftmost of thes
 own forward automaton runs to the longest end; matches of a rule don't overlap, and
 a match that its length limits fail is dropped, as it is where an expression engine scans.
 
-The automata are a few thousand numbers, built once on the driver. A document is one row in
-and one row out; there is no shuffle. Null and empty texts have no spans.
+The automata are compiled on the driver and travel with the function as arrays; a rule set whose
+automaton would have more than ``MOST_STATES`` states is refused there. A document is one row in
+and one row out; there is no shuffle. Null and empty texts have no spans, an empty table gives an
+empty table, and further columns are kept as they are by ``redact``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from dataclasses import dataclass, field
 from functools import cache
 
@@ -29,20 +32,29 @@ from tidemark.llm.shared import arrow
 
 @dataclass(frozen=True)
 class Rule:
-    """``tail`` is the shape of a match's last part, ``least_tail`` how long that must be."""
+    """``tail`` is the shape of a match's last part, ``least_tail`` how long that must be.
+
+    ``head`` may be given where the rest of the pattern can be empty: a match then begins where
+    the head matches, so only the head goes into the automaton that looks for beginnings.
+    """
 
     kind: str
     pattern: str
     least: int = 1
     tail: str = ""
     least_tail: int = 0
+    head: str = ""
 
 
 #: A private key from its BEGIN line to the END line, whatever stands between them except five dashes. Where
-#: the END line is missing, the header lines and the runs of 16 or more base64 characters that follow.
-_PEM = (r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"|(?:(?:[\x20\t\r\n\"',>#|+]|\\[nr])+(?:[A-Za-z0-9-]+:\x20[^\r\n\\-]*|=?[A-Za-z0-9+/]{16,}={0,2}))*)")
+#: the END line is missing, the header lines and the runs of 16 or more base64 characters that follow. What separates
+#: these shares no character with them (a + only right behind a line break), which keeps the automaton small.
+_PEM_BEGIN = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+_PEM = (_PEM_BEGIN + r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+        r"|(?:(?:[\x20\t\r\"',>#|]|\n\+?|\\[nr])+(?:[A-Za-z0-9-]+:\x20[^\r\n\\-]*|=?[A-Za-z0-9+/]{16,}={0,2}))*)")
+
+#: States of one automaton, before states that no text tells apart are merged; beyond that a rule is an error.
+MOST_STATES = 4096
 
 #: The base kinds, in their order, then what this scan adds.
 RULES = (
@@ -50,7 +62,7 @@ RULES = (
          tail=r"""[:=]\x20*["']?""", least_tail=6),
     Rule("access", r"AKIA[A-Z0-9]+", least=20),
     Rule("hex", r"[0-9a-f]{24,}"),
-    Rule("private_key", _PEM),
+    Rule("private_key", _PEM, head=_PEM_BEGIN),
     Rule("forge_token", r"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("chat_token", r"xox[baprs]-[A-Za-z0-9-]+", least=20),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", least=40),
@@ -223,8 +235,8 @@ class Automaton:
     """``table[state * 256 + byte]`` is the next state times 256; states are ordered so that
     those from ``marked`` on end a match, and ``rules[state]`` has a bit for each rule."""
 
-    table: list[int]
-    rules: list[int]
+    table: array
+    rules: array
     start: int
     marked: int
     dead: int
@@ -233,7 +245,8 @@ class Automaton:
 def compile_rules(patterns: list[str], backward: bool, anywhere: bool) -> Automaton:
     """Subset construction over all patterns together, then minimisation.
 
-    ``backward`` mirrors them; with ``anywhere`` a match may begin at every byte.
+    ``backward`` mirrors them; with ``anywhere`` a match may begin at every byte. More than
+    ``MOST_STATES`` states are a ValueError.
     """
     net, ends, begins = _Net(), {}, []
     for k, pattern in enumerate(patterns):
@@ -257,6 +270,8 @@ def compile_rules(patterns: list[str], backward: bool, anywhere: bool) -> Automa
             if key not in seen:
                 closed = net.closed(key)
                 if closed not in known:
+                    if len(known) == MOST_STATES:
+                        raise ValueError(f"more than {MOST_STATES} states: {', '.join(patterns)[:200]}")
                     known[closed] = len(known)
                     todo.append(closed)
                 seen[key] = known[closed]
@@ -286,7 +301,7 @@ def _minimal(rows: np.ndarray, bits: np.ndarray) -> Automaton:
     rules = bits[sample[order]]
     stays = (table == np.arange(len(table))[:, None]).all(1) & (rules == 0)
     dead = int(np.flatnonzero(stays)[0]) if stays.any() else -1
-    return Automaton((table * 256).ravel().tolist(), rules.tolist(), int(place[group[0]]) * 256,
+    return Automaton(array("i", (table * 256).ravel().tolist()), array("q", rules.tolist()), int(place[group[0]]) * 256,
                      int((rules == 0).sum()) * 256, dead * 256)
 
 
@@ -295,7 +310,7 @@ class Scanner:
 
     def __init__(self, rules: tuple[Rule, ...] = RULES) -> None:
         self.rules = rules
-        self.back = compile_rules([r.pattern for r in rules], backward=True, anywhere=True)
+        self.back = compile_rules([r.head or r.pattern for r in rules], backward=True, anywhere=True)
         self.ahead = [compile_rules([r.pattern], backward=False, anywhere=False) for r in rules]
         self.tails = [re.compile(r.tail.encode()) if r.tail else None for r in rules]
 
@@ -349,9 +364,10 @@ _SPANS = "array<struct<kind: string, start: bigint, end: bigint>>"
 
 def find(rules: tuple[Rule, ...] = RULES):
     """A function of a text column: the spans of all rules."""
+    own = scanner(rules)
+
     @arrow(_SPANS)
     def spans(texts: pa.Array) -> pa.Array:
-        own = scanner(rules)
         return pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in own.spans(x.as_py() or "")]
                          for x in texts],
                         pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])))
@@ -363,9 +379,11 @@ def redact(documents: DataFrame, mark: str = "[secret]", rules: tuple[Rule, ...]
 
     A column n_chars, where there is one, follows the text. Null texts stay null.
     """
+    own = scanner(rules)
+
     @arrow("string")
     def cleaned(texts: pa.Array) -> pa.Array:
-        own, out = scanner(rules), []
+        out = []
         for x in texts:
             text = x.as_py()
             left, parts = 0, []
