@@ -14,6 +14,7 @@ from tidemark.llm import (
     secret_scan,
     shard_shuffle,
     site_tree,
+    spelling,
     substring_dedup,
     url_filter,
 )
@@ -34,6 +35,7 @@ QUERIES = {
     "op8_site_style_tree": lambda s, d: site_tree.report(_table(s, d, "pages")),
     "op9_length_histogram": lambda s, d: lengths.report(_table(s, d, "documents")),
     "op10_bin_slack_packing": lambda s, d: packing.report(_table(s, d, "documents")),
+    "op11_reduced_alphabet": lambda s, d: spelling.report(_table(s, d, "documents")),
     "op12_fixed_block_anchors": lambda s, d: substring_dedup.report(_table(s, d, "documents")),
 }
 
