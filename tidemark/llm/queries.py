@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import (
+    alignment,
     decontaminate,
     katz,
     lengths,
@@ -37,6 +38,7 @@ QUERIES = {
     "op10_bin_slack_packing": lambda s, d: packing.report(_table(s, d, "documents")),
     "op11_reduced_alphabet": lambda s, d: spelling.report(_table(s, d, "documents")),
     "op12_fixed_block_anchors": lambda s, d: substring_dedup.report(_table(s, d, "documents")),
+    "op13_cross_tokenizer_alignment": lambda s, d: alignment.report(_table(s, d, "documents")),
 }
 
 ORACLES: dict[str, str] = {}
