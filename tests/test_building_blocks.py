@@ -71,3 +71,31 @@ def test_overlap_equals_brute_force(spark, monkeypatch, c, block):
             if a != b and len(sets[a] & other[b]) >= c}
     got = {(r.a, r.b): r.shared for r in overlapping_pairs(df, df2, c).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("block", [3, 2_000])
+@pytest.mark.parametrize("k", [1, 7, 40, 5_000])
+def test_widest_overlaps_equal_brute_force(spark, monkeypatch, k, block):
+    monkeypatch.setattr(overlap, "BLOCK", block)
+    monkeypatch.setattr(overlap, "_FINE", 4)
+    rng = random.Random(k)
+    sides = []
+    for _ in range(2):
+        sides.append({f"s{i:02d}": {f"t{min(rng.randrange(30), rng.randrange(30))}" for _ in range(rng.randrange(1, 30))}
+                      for i in range(30)})
+    sides[0]["s00"] = sides[1]["s07"] = {f"t{i}" for i in range(30)}
+    one, two = (spark.createDataFrame([(s, t) for s, ts in x.items() for t in ts], "set_id string, token string")
+                for x in sides)
+
+    def widest(pairs, least):
+        rows = [(a, b, len(x & y)) for (a, x), (b, y) in pairs if a != b and len(x & y) >= least]
+        return sorted(rows, key=lambda r: (-r[2], r[0], r[1]))[:k]
+
+    for least in (1, 9):
+        got = [tuple(r) for r in overlap.top_overlaps(one, None, k, least).collect()]
+        assert got == widest(combinations(sorted(sides[0].items()), 2), least)
+        got = [tuple(r) for r in overlap.top_overlaps(one, two, k, least).collect()]
+        assert got == widest([(a, b) for a in sides[0].items() for b in sides[1].items()], least)
+    if k == 1:
+        found, bound = overlap.candidates(one, None, k)
+        assert found.count() < 30 * 29 / 20 and found.agg(F.min("shared")).first()[0] >= bound > 1

@@ -94,4 +94,12 @@ def test_cycles_equal_brute_force(spark, seed):
     edges = graph.build_edges(frame(spark, sorted(pairs)))
     got = [tuple(r.accounts) for r in graph.cycles(edges).collect()]
     assert len(got) == len(set(got)) and set(got) == want
+    want_of = {}
+    for ring in want:
+        for account in ring:
+            want_of[account, len(ring)] = want_of.get((account, len(ring)), 0) + 1
+    per = {(r.account, r.length): r for r in graph.cycle_accounts(edges).collect()}
+    assert {k: r.cycle_count for k, r in per.items()} == want_of
+    assert all(r.transaction_count == r.cycle_count * r.length and r.total_amount == 100.0 * r.transaction_count
+               for r in per.values())
     assert {len(g) for g in (tuple(r.accounts) for r in graph.cycles(edges, 2).collect())} <= {2}

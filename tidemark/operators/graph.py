@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import clean, number
-from tidemark.functions.overlap import overlapping_pairs
+from tidemark.functions.overlap import overlapping_pairs, top_overlaps
+from tidemark.functions.stored import stored
 from tidemark.policy import GraphPolicy
 from tidemark.schema import require_columns
 
@@ -76,21 +77,37 @@ def _listed(pairs: DataFrame, key: str, item: str, key_name: str, name: str,
                  .agg(F.array_sort(F.collect_list(item)).alias(name)))
 
 
+def _senders(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("src").alias("set_id"), F.col("dst").alias("token"))
+
+
+def _receivers(edges: DataFrame) -> DataFrame:
+    return edges.select(F.col("dst").alias("set_id"), F.col("src").alias("token"))
+
+
 def bipartite_pairs(edges: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:
     """Source pairs paying at least two common targets: K(2, n)."""
-    found = overlapping_pairs(edges.select(F.col("src").alias("set_id"),
-                                           F.col("dst").alias("token")),
-                              None, policy.shared_targets)
+    return _as_bipartite(overlapping_pairs(_senders(edges), None, policy.shared_targets))
+
+
+def _as_bipartite(found: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("source_a"), F.col("b").alias("source_b"),
                         F.col("shared").alias("destination_count"),
                         (F.col("shared") * 2).alias("edge_count"))
 
 
+def bipartite_accounts(edges: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:
+    """Per source account: with how many others it forms a K(2, n), over how many edges, the widest n."""
+    return (bipartite_pairs(edges, policy)
+            .select(F.explode(F.array("source_a", "source_b")).alias("account"), "destination_count", "edge_count")
+            .groupBy("account").agg(F.count("*").alias("pair_count"), F.sum("edge_count").alias("edge_count"),
+                                    F.max("destination_count").alias("widest")))
+
+
 def top_bipartite(edges: DataFrame, max_results: int = 100,
                   policy: GraphPolicy = GraphPolicy()) -> DataFrame:
     """The widest pairs, each with its first common targets."""
-    best = (bipartite_pairs(edges, policy)
-            .orderBy(F.desc("destination_count"), "source_a", "source_b").limit(max_results))
+    best = _as_bipartite(top_overlaps(_senders(edges), None, max_results, policy.shared_targets))
     return _with_middle(best, edges.select(F.col("src").alias("source_a"), F.col("dst").alias("m")),
                         edges.select(F.col("src").alias("source_b"), F.col("dst").alias("m")),
                         "source_a", "source_b", "destinations", policy.listed)
@@ -98,9 +115,7 @@ def top_bipartite(edges: DataFrame, max_results: int = 100,
 
 def _with_middle(best: DataFrame, a_side: DataFrame, b_side: DataFrame, a: str, b: str,
                  name: str, k: int) -> DataFrame:
-    # At most max_results pairs, so a broadcast of known size.
-    keys = F.broadcast(best.select(a, b))
-    shared = keys.join(a_side, a).join(b_side, [b, "m"])
+    shared = best.select(a, b).join(a_side, a).join(b_side, [b, "m"])
     rank = Window.partitionBy(a, b).orderBy("m")
     listed = (shared.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
                     .groupBy(a, b).agg(F.array_sort(F.collect_list("m")).alias(name)))
@@ -135,74 +150,88 @@ def scatter_gather_pairs(edges: DataFrame, policy: GraphPolicy = GraphPolicy())
     That is the targets of one account overlapping the payers of another in three or more
     accounts; three paths imply the out-degree of three the pattern also asks for.
     """
-    out_sets = edges.select(F.col("src").alias("set_id"), F.col("dst").alias("token"))
-    in_sets = edges.select(F.col("dst").alias("set_id"), F.col("src").alias("token"))
-    found = overlapping_pairs(out_sets, in_sets, policy.scatter_paths)
+    return _as_scatter(overlapping_pairs(_senders(edges), _receivers(edges), policy.scatter_paths))
+
+
+def _as_scatter(found: DataFrame) -> DataFrame:
     return found.select(F.col("a").alias("source"), F.col("b").alias("destination"),
                         F.col("shared").alias("path_count"))
 
 
+def scatter_gather_accounts(edges: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:
+    """Per account: pairs it is the source of and the destination of, their paths, and the most paths of one."""
+    ends = scatter_gather_pairs(edges, policy).select(F.explode(F.array(
+        F.struct(F.col("source").alias("account"), F.lit(1).alias("s"), F.lit(0).alias("d"), "path_count"),
+        F.struct(F.col("destination").alias("account"), F.lit(0).alias("s"), F.lit(1).alias("d"), "path_count"))).alias("e"))
+    return ends.groupBy("e.account").agg(
+        F.sum("e.s").alias("as_source"), F.sum("e.d").alias("as_destination"),
+        F.sum("e.path_count").alias("path_count"), F.max("e.path_count").alias("widest"))
+
+
 def top_scatter_gather(edges: DataFrame, max_results: int = 100,
                        policy: GraphPolicy = GraphPolicy()) -> DataFrame:
-    best = (scatter_gather_pairs(edges, policy)
-            .orderBy(F.desc("path_count"), "source", "destination").limit(max_results))
+    best = _as_scatter(top_overlaps(_senders(edges), _receivers(edges), max_results, policy.scatter_paths))
     return _with_middle(best, edges.select(F.col("src").alias("source"), F.col("dst").alias("m")),
                         edges.select(F.col("dst").alias("destination"), F.col("src").alias("m")),
                         "source", "destination", "intermediaries", policy.listed)
 
 
-def cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
-    """Every simple directed cycle of two to four accounts, from its smallest account on.
-
-    Two-hop paths start at the cycle's highest-ranked account (rank = degree, then name)
-    and only pass through lower-ranked ones. A busy account is then never a middle, except
-    for accounts busier still, so the number of paths stays near edges x arboricity where
-    an unordered self-join grows with the square of the busiest degree.
-    """
-    if not 2 <= max_length <= 4:
-        raise ValueError("cycle length must be 2, 3 or 4")
+def _hops(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges with the ranks of both ends (rank = degree, then name): all, downward ones, upward ones."""
     plain = edges.where(F.col("src") != F.col("dst")).select(
         "src", "dst", F.col("transaction_count").alias("n"), F.col("total_amount").alias("amt"))
     degree = (plain.select(F.explode(F.array("src", "dst")).alias("node"))
                    .groupBy("node").agg(F.count("*").alias("deg")))
-    ranked = (plain.join(degree.select(F.col("node").alias("src"), F.col("deg").alias("sd")), "src")
-                   .join(degree.select(F.col("node").alias("dst"), F.col("deg").alias("dd")), "dst"))
+    ranked = stored(plain.join(degree.select(F.col("node").alias("src"), F.col("deg").alias("sd")), "src")
+                         .join(degree.select(F.col("node").alias("dst"), F.col("deg").alias("dd")), "dst"))
     src_rank, dst_rank = F.struct("sd", "src"), F.struct("dd", "dst")
-    down = ranked.where(src_rank > dst_rank)
-    up = ranked.where(src_rank < dst_rank)
+    return ranked, ranked.where(src_rank > dst_rank), ranked.where(src_rank < dst_rank)
+
+
+def _away(ranked: DataFrame, down: DataFrame) -> DataFrame:
+    """top -> m -> w with m and w below top."""
+    hop = ranked.select(F.col("src").alias("m"), F.col("dst").alias("w"), F.col("dd").alias("wd"),
+                        F.col("n").alias("n2"), F.col("amt").alias("amt2"))
+    return (down.select(F.col("src").alias("top"), F.col("sd").alias("td"), F.col("dst").alias("m"), "n", "amt")
+            .join(hop, "m").where(F.struct("wd", "w") < F.struct("td", "top"))
+            .select("top", "w", "m", (F.col("n") + F.col("n2")).alias("n"), (F.col("amt") + F.col("amt2")).alias("amt")))
+
+
+def _home(ranked: DataFrame, up: DataFrame) -> DataFrame:
+    """w -> m -> top with w and m below top."""
+    hop = ranked.select(F.col("src").alias("w"), F.col("sd").alias("wd"), F.col("dst").alias("m"),
+                        F.col("n").alias("n3"), F.col("amt").alias("amt3"))
+    return (up.select(F.col("src").alias("m"), F.col("dst").alias("top"), F.col("dd").alias("td"), "n", "amt")
+            .join(hop, "m").where(F.struct("wd", "w") < F.struct("td", "top"))
+            .select("top", "w", "m", (F.col("n") + F.col("n3")).alias("n"), (F.col("amt") + F.col("amt3")).alias("amt")))
+
+
+def cycles(edges: DataFrame, max_length: int = 4, hops: tuple[DataFrame, ...] | None = None) -> DataFrame:
+    """Every simple directed cycle of two to four accounts, from its smallest account on.
 
+    Two-hop paths start at the cycle's highest-ranked account and only pass through lower-ranked ones. A busy
+    account is then never a middle, except for accounts busier still, so the number of paths stays near
+    edges x arboricity where an unordered self-join grows with the square of the busiest degree. Cycles of four are as
+    many as there are; ``square_paths`` has them in factors, and ``cycle_accounts`` counts them without listing.
+    """
+    if not 2 <= max_length <= 4:
+        raise ValueError("cycle length must be 2, 3 or 4")
+    ranked, down, up = hops or _hops(edges)
     back = up.select(F.col("src").alias("dst"), F.col("dst").alias("src"),
                      F.col("n").alias("n2"), F.col("amt").alias("amt2"))
     parts = [down.join(back, ["src", "dst"])
                  .select(F.array("src", "dst").alias("ring"), (F.col("n") + F.col("n2")).alias("n"),
                          (F.col("amt") + F.col("amt2")).alias("amt"))]
     if max_length >= 3:
-        # top -> m -> w with m and w below top
-        hop = ranked.select(F.col("src").alias("m"), F.col("dst").alias("w"),
-                            F.col("dd").alias("wd"), F.col("n").alias("n2"),
-                            F.col("amt").alias("amt2"))
-        away = (down.select(F.col("src").alias("top"), F.col("sd").alias("td"),
-                            F.col("dst").alias("m"), "n", "amt").join(hop, "m")
-                    .where(F.struct("wd", "w") < F.struct("td", "top"))
-                    .select("top", "w", "m", (F.col("n") + F.col("n2")).alias("n"),
-                            (F.col("amt") + F.col("amt2")).alias("amt")))
         close = up.select(F.col("src").alias("w"), F.col("dst").alias("top"),
                           F.col("n").alias("n3"), F.col("amt").alias("amt3"))
-        parts.append(away.join(close, ["w", "top"]).select(
+        parts.append(_away(ranked, down).join(close, ["w", "top"]).select(
             F.array("top", "m", "w").alias("ring"), (F.col("n") + F.col("n3")).alias("n"),
             (F.col("amt") + F.col("amt3")).alias("amt")))
     if max_length >= 4:
-        # w -> m2 -> top with m2 below top
-        inward = ranked.select(F.col("src").alias("w"), F.col("sd").alias("wd"),
-                               F.col("dst").alias("m2"), F.col("n").alias("n3"),
-                               F.col("amt").alias("amt3"))
-        home = (up.select(F.col("src").alias("m2"), F.col("dst").alias("top"),
-                          F.col("dd").alias("td"), F.col("n").alias("n4"),
-                          F.col("amt").alias("amt4")).join(inward, "m2")
-                  .where(F.struct("wd", "w") < F.struct("td", "top"))
-                  .select("top", "w", "m2", (F.col("n3") + F.col("n4")).alias("n2"),
-                          (F.col("amt3") + F.col("amt4")).alias("amt2")))
-        parts.append(away.join(home, ["top", "w"]).where(F.col("m") != F.col("m2")).select(
+        home = _home(ranked, up).select("top", "w", F.col("m").alias("m2"), F.col("n").alias("n2"),
+                                        F.col("amt").alias("amt2"))
+        parts.append(_away(ranked, down).join(home, ["top", "w"]).where(F.col("m") != F.col("m2")).select(
             F.array("top", "m", "w", "m2").alias("ring"), (F.col("n") + F.col("n2")).alias("n"),
             (F.col("amt") + F.col("amt2")).alias("amt")))
     rings = parts[0]
@@ -213,6 +242,64 @@ def cycles(edges: DataFrame, max_length: int = 4) -> DataFrame:
                         F.round("amt", 2).alias("total_amount"))
 
 
+def square_paths(edges: DataFrame, hops: tuple[DataFrame, ...] | None = None) -> DataFrame:
+    """Cycles of four in factors: for each (top, opposite) the middles of the ways out and of the ways home.
+
+    A row is a middle, with transfers and amount of its way out (n1, amt1) and home (n2, amt2), null where it has none.
+    A cycle is a middle out and another one home of the same two accounts, so rows grow with the paths.
+    """
+    ranked, down, up = hops or _hops(edges)
+    none = [F.lit(None).cast(kind).alias(c) for c, kind in (("n", "long"), ("amt", "double"))]
+    ways = _away(ranked, down).select("top", F.col("w").alias("opposite"), "m", F.struct("n", "amt").alias("out"),
+                                      F.struct(*none).alias("home")).unionByName(
+        _home(ranked, up).select("top", F.col("w").alias("opposite"), "m", F.struct(*none).alias("out"),
+                                 F.struct("n", "amt").alias("home")))
+    return ways.groupBy("top", "opposite", F.col("m").alias("middle")).agg(
+        F.max("out.n").alias("n1"), F.max("out.amt").alias("amt1"),
+        F.max("home.n").alias("n2"), F.max("home.amt").alias("amt2"))
+
+
+def cycle_accounts(edges: DataFrame) -> DataFrame:
+    """All cycles of two to four accounts, counted per account and length; those of four come from products.
+
+    With c1 ways out and c2 home, and e middles in both, two accounts have c1 * c2 - e cycles; a middle's way
+    out meets every way home but its own. Sums of transfers and amounts follow in the same way.
+    """
+    hops = _hops(edges)
+    paths = square_paths(edges, hops)
+    both = F.col("n1").isNotNull() & F.col("n2").isNotNull()
+    totals = paths.groupBy("top", "opposite").agg(
+        F.count("n1").alias("c1"), F.count("n2").alias("c2"), F.count_if(both).alias("e"),
+        *(F.coalesce(F.sum(c), F.lit(0)).alias(f"s_{c}") for c in ("n1", "n2", "amt1", "amt2")),
+        F.coalesce(F.sum(F.when(both, F.col("n1") + F.col("n2"))), F.lit(0)).alias("e_n"),
+        F.coalesce(F.sum(F.when(both, F.col("amt1") + F.col("amt2"))), F.lit(0)).alias("e_amt"),
+    ).where((F.col("c1") > 0) & (F.col("c2") > 0))
+
+    def whole(c: str) -> Column:
+        return F.col(f"s_{c}1") * F.col("c2") + F.col(f"s_{c}2") * F.col("c1") - F.col(f"e_{c}")
+
+    ends = totals.select(F.explode(F.array("top", "opposite")).alias("account"),
+                         (F.col("c1") * F.col("c2") - F.col("e")).alias("count"), whole("n").alias("n"), whole("amt").alias("amt"))
+    own = both.cast("long")
+
+    def through(c: str, here: str, there: str) -> Column:
+        mine, other = F.col(f"{c}{here}"), F.col(f"{c}{there}")
+        met = mine * (F.col(f"c{there}") - own) + F.col(f"s_{c}{there}") - F.when(both, other).otherwise(0)
+        return F.when(mine.isNotNull(), met).otherwise(0)
+
+    count = sum((F.when(F.col(f"n{a}").isNotNull(), F.col(f"c{b}") - own).otherwise(0) for a, b in (("1", "2"), ("2", "1"))), F.lit(0))
+    middles = paths.join(totals, ["top", "opposite"]).select(
+        F.col("middle").alias("account"), count.alias("count"),
+        (through("n", "1", "2") + through("n", "2", "1")).alias("n"),
+        (through("amt", "1", "2") + through("amt", "2", "1")).alias("amt"))
+    squares = ends.unionByName(middles).select("account", F.lit(4).alias("length"), "count", "n", "amt")
+    short = cycles(edges, 3, hops).select(F.explode("accounts").alias("account"), "length", F.lit(1).cast("long").alias("count"),
+                                    F.col("transaction_count").alias("n"), F.col("total_amount").alias("amt"))
+    return (short.unionByName(squares).groupBy("account", "length")
+            .agg(F.sum("count").alias("cycle_count"), F.sum("n").alias("transaction_count"),
+                 F.round(F.sum("amt"), 2).alias("total_amount")).where("cycle_count > 0"))
+
+
 def _from_smallest(ring: Column) -> Column:
     at = F.array_position(ring, F.array_min(ring)).cast("int")
     return F.concat(F.slice(ring, at, F.size(ring)), F.slice(ring, 1, at - 1))

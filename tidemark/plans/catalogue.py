@@ -639,11 +639,12 @@ def graph_fan_out(spark, sf):
         "counterparties", F.array_join("counterparties", ","))
 
 
-@query("graph_bipartite", _G + """SELECT a.src AS source_a, b.src AS source_b, count(*) AS destination_count,
-  2 * count(*) AS edge_count FROM edges a JOIN edges b ON a.dst = b.dst AND a.src < b.src
-  GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("graph_bipartite", _G + """, pairs AS (SELECT a.src AS x, b.src AS y, count(*) AS n FROM edges a
+  JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 2)
+SELECT account, count(*) AS pair_count, CAST(sum(2 * n) AS BIGINT) AS edge_count, max(n) AS widest FROM
+  (SELECT unnest([x, y]) AS account, n FROM pairs) q GROUP BY 1""")
 def graph_bipartite(spark, sf):
-    return graph.bipartite_pairs(edges(spark, sf))
+    return graph.bipartite_accounts(edges(spark, sf))
 
 
 @query("graph_bipartite_top", _G + """SELECT source_a, source_b, destination_count,
@@ -667,10 +668,13 @@ def graph_gather_scatter(spark, sf):
         text_list("destinations"))
 
 
-@query("graph_scatter_gather", _G + """SELECT a.src AS source, b.dst AS destination, count(*) AS path_count
-  FROM edges a JOIN edges b ON a.dst = b.src AND a.src <> b.dst GROUP BY 1, 2 HAVING count(*) >= 3""")
+@query("graph_scatter_gather", _G + """, pairs AS (SELECT a.src AS s, b.dst AS d, count(*) AS n FROM edges a
+  JOIN edges b ON a.dst = b.src AND a.src <> b.dst GROUP BY 1, 2 HAVING count(*) >= 3)
+SELECT account, count(*) FILTER (WHERE side = 's') AS as_source, count(*) FILTER (WHERE side = 'd') AS as_destination,
+  CAST(sum(n) AS BIGINT) AS path_count, max(n) AS widest FROM (SELECT s AS account, 's' AS side, n FROM pairs
+  UNION ALL SELECT d, 'd', n FROM pairs) q GROUP BY 1""")
 def graph_scatter_gather(spark, sf):
-    return graph.scatter_gather_pairs(edges(spark, sf))
+    return graph.scatter_gather_accounts(edges(spark, sf))
 
 
 @query("graph_scatter_gather_top", _G + """SELECT source, destination, path_count,
@@ -698,9 +702,9 @@ rings AS (
 
 
 @query("graph_cycles", _G + _CYCLES + """SELECT accounts, length, n AS transaction_count,
-  round(amt, 2) AS total_amount FROM rings WHERE length <= 3""")
+  round(amt, 2) AS total_amount FROM rings""")
 def graph_cycles(spark, sf):
-    return graph.cycles(edges(spark, sf), 3).withColumn("accounts", F.array_join("accounts", ","))
+    return graph.cycles(edges(spark, sf)).withColumn("accounts", F.array_join("accounts", ","))
 
 
 @query("graph_cycle_accounts", _G + _CYCLES + """SELECT unnest(string_split(accounts, ',')) AS account, length,
@@ -708,13 +712,7 @@ def graph_cycles(spark, sf):
   FROM rings GROUP BY 1, 2""")
 def graph_cycle_accounts(spark, sf):
     """All cycles up to four accounts, counted per account they pass through."""
-    return (graph.cycles(edges(spark, sf))
-            .select(F.explode("accounts").alias("account"), "length", "transaction_count",
-                    "total_amount")
-            .groupBy("account", "length")
-            .agg(F.count("*").alias("cycle_count"),
-                 F.sum("transaction_count").alias("transaction_count"),
-                 F.round(F.sum("total_amount"), 2).alias("total_amount")))
+    return graph.cycle_accounts(edges(spark, sf))
 
 
 # ---- drift ---------------------------------------------------------------------------

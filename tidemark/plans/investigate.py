@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
+from tidemark.functions.stored import stored as shared
 from tidemark.operators import aggregate, drift, evidence, filters, graph, profile, rules, stats
 from tidemark.operators.features import features_for
 from tidemark.operators.filters import TransactionFilter
 from tidemark.operators.forest import Forest, score_forest
 from tidemark.operators.risk import recommend, score_risk
 from tidemark.policy import PATTERN_RULES
-from tidemark.session import checkpoint_dir
 
 KINDS = ("pattern_search", "aggregation", "entity_lookup", "broad_eda")
 GRAPH_PATTERNS = ("layering", "cycle", "bipartite", "gather_scatter", "scatter_gather")
@@ -58,17 +57,6 @@ class InvestigationSpec:
         return found
 
 
-def shared(df: DataFrame) -> DataFrame:
-    """A frame several results read: kept once instead of recomputed.
-
-    With a shared checkpoint folder it is written there, which survives lost executors;
-    else it stays in executor storage and is recomputed from its source where lost.
-    """
-    if checkpoint_dir(df.sparkSession):
-        return df.checkpoint()
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def score_transactions(df: DataFrame, spec: InvestigationSpec) -> DataFrame:
     """Filter, add only the features the steps need, run the detectors, fuse and escalate."""
     rows = filters.load_transactions(df, spec.filters)
