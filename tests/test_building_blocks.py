@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.functions import overlap
+from tidemark.functions import overlap, quantiles
 from tidemark.functions.overlap import overlapping_pairs
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.sampling import bottom_k, hash_key
@@ -28,6 +28,25 @@ def test_quantiles_match_numpy(spark, values):
     assert got[0] == min(values) and got[-1] == max(values)
 
 
+@pytest.mark.parametrize("name,draw", [
+    ("heavy tail", lambda g: np.exp(g.pareto(0.3, 30_000).clip(0, 600))), ("ties", lambda g: g.integers(0, 3, 30_000).astype(float)),
+    ("two far clusters", lambda g: np.where(g.random(30_000) < .5, g.random(30_000) * 1e-12, 1e12 + g.random(30_000)))])
+def test_quantiles_scan_the_rows_twice_whatever_their_distribution(spark, monkeypatch, name, draw):
+    values = draw(np.random.default_rng(5))
+    scans = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            scans.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(quantiles, "ACCURACY", 500)
+    df = spark.createDataFrame([(float(v),) for v in values], "x double").mapInArrow(counted, "x double")
+    got = exact_quantiles(df, ["x"], PROBS)["x"]
+    assert got == pytest.approx([float(np.quantile(values, p)) for p in PROBS], rel=1e-12)
+    assert scans.value == 2 * len(values)
+
+
 def test_quantiles_of_several_columns_skip_non_numbers(spark):
     df = spark.createDataFrame([(1.0, float("nan"), None), (2.0, float("inf"), None), (3.0, 7.0, None)],
                                "a double, b double, c double")

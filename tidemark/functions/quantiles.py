@@ -1,10 +1,11 @@
-"""Exact quantiles without bringing a column into one task.
+"""Exact quantiles in two scans, without bringing a column into one task.
 
-Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here each rank
-is narrowed down instead: count values per bin between the smallest and largest candidate,
-keep the bin that holds the rank, and repeat on that bin's own smallest and largest value
-until they are equal. Every round is one scan with partial aggregation that returns at
-most ``BINS`` rows per open rank, and cuts the candidates about a thousandfold.
+Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here a mergeable sketch
+(``approx_percentile``, whose rank error is bounded whatever the distribution) gives two values that bracket each
+quantile in one scan. A second scan counts what lies below each bracket and stores the values inside, equal ones
+as one row with their number: some ``2 * MARGIN / ACCURACY`` of the rows at most, and a value that repeats is one row. The ranks
+are then found on that small table, by counting bins between its smallest and largest candidate until
+few enough values are left.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.stored import stored
+
+ACCURACY = 10_000
+#: Brackets reach as many times the sketch's error to both sides.
+MARGIN = 2
 BINS = 1024
 
 
@@ -26,79 +32,97 @@ def exact_quantiles(df: DataFrame, columns: list[str],
     """
     if not columns:
         return {}
-    wide = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
-    finite = [F.when(~F.isnan(f"c{i}") & (F.abs(f"c{i}") != float("inf")), F.col(f"c{i}"))
-              for i in range(len(columns))]
-    bounds = wide.agg(*[x for i, v in enumerate(finite) for x in (
-        F.count(v).alias(f"n{i}"), F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"))]).first()
-
-    # rank -> (low, high, how many values lie below low), per column
-    open_ranks: dict[tuple[int, int], tuple[float, float, int]] = {}
-    found: dict[tuple[int, int], float] = {}
+    wide = df.select(*(_finite(F.col(c).cast("double")).alias(f"c{i}") for i, c in enumerate(columns)))
+    reach = MARGIN / ACCURACY
+    asked = [x for p in probs for x in (max(p - reach, 0.0), min(p + reach, 1.0))]
+    sketch = wide.agg(*(x for i in range(len(columns)) for x in (
+        F.count(f"c{i}").alias(f"n{i}"), F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}"),
+        F.percentile_approx(f"c{i}", asked, ACCURACY).alias(f"q{i}")))).first()
+
     wanted: dict[int, list[tuple[int, int, float]]] = {}
+    brackets: dict[tuple[int, float, float], list[tuple[int, int]]] = defaultdict(list)
     for i in range(len(columns)):
-        n = bounds[f"n{i}"]
+        n, low, high = sketch[f"n{i}"], sketch[f"lo{i}"], sketch[f"hi{i}"]
         wanted[i] = []
-        for p in probs if n else []:
+        for k, p in enumerate(probs if n else []):
             place = p * (n - 1)
-            low = math.floor(place)
-            high = min(low + 1, n - 1)
-            wanted[i].append((low, high, place - low))
-            for rank in (low, high):
-                open_ranks[i, rank] = (bounds[f"lo{i}"], bounds[f"hi{i}"], 0)
-    while open_ranks:
-        for key, (lo, hi, _) in list(open_ranks.items()):
-            if lo == hi:
-                found[key] = lo
-                del open_ranks[key]
-        if open_ranks:
-            open_ranks = _narrow(wide, open_ranks)
+            ranks = math.floor(place), min(math.floor(place) + 1, n - 1)
+            wanted[i].append((*ranks, place - ranks[0]))
+            few = n <= ACCURACY  # then all values are fewer than a bracket's share of many
+            a = low if few or asked[2 * k] <= reach else sketch[f"q{i}"][2 * k]
+            b = high if few or asked[2 * k + 1] >= 1 - reach else sketch[f"q{i}"][2 * k + 1]
+            brackets[i, a, b] += [(i, r) for r in ranks]
+    found = _ranked(wide, brackets)
+    missing = defaultdict(list)  # none, as the sketch's error is bounded
+    for key in (key for keys in brackets.values() for key in keys if key not in found):
+        missing[key[0], sketch[f"lo{key[0]}"], sketch[f"hi{key[0]}"]].append(key)
+    found |= _ranked(wide, missing)
     return {
         c: ([found[i, a] + (found[i, b] - found[i, a]) * f for a, b, f in wanted[i]]
             if wanted[i] else None)
         for i, c in enumerate(columns)}
 
 
-def _narrow(wide: DataFrame, open_ranks: dict) -> dict:
-    ranges: dict[tuple[int, float, float, int], list[tuple[int, int]]] = defaultdict(list)
-    for (i, rank), (lo, hi, below) in open_ranks.items():
-        ranges[i, lo, hi, below].append((i, rank))
-    parts = []
-    for r, (i, lo, hi, _) in enumerate(ranges):
+def _finite(value: Column) -> Column:
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def _ranked(wide: DataFrame, brackets: dict) -> dict[tuple[int, int], float]:
+    """Values of ranks that lie in their bracket (column, low, high); others are left out."""
+    if not brackets:
+        return {}
+    slots = []
+    for r, (i, low, high) in enumerate(brackets):
         value = F.col(f"c{i}")
-        # Halving first keeps the spread finite for any pair of doubles.
-        share = (value / 2 - lo / 2) / F.lit(hi / 2 - lo / 2)
-        slot = F.least(F.floor(share * BINS), F.lit(BINS - 1))
-        parts.append(F.when((value >= lo) & (value <= hi), F.struct(
-            F.lit(r).alias("r"), slot.cast("int").alias("bin"), value.alias("v"))))
-    rows = (wide.select(F.explode(F.filter(F.array(*parts), lambda s: s.isNotNull())).alias("s"))
-                .groupBy("s.r", "s.bin")
-                .agg(F.count("*").alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
-                .orderBy("r", "bin").collect())
+        slots.append(F.when(value <= high, F.struct(
+            F.lit(r).alias("r"), F.when(value >= low, value).alias("v"))))
+    table = stored(wide.select(F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"))
+                   .groupBy("s.r", "s.v").agg(F.count("*").alias("n")))
+    sizes = {row["r"]: row for row in table.groupBy("r").agg(
+        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
+        F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("inside"),
+        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+    found, open_ranks = {}, {}
+    for r, keys in enumerate(brackets.values()):
+        row = sizes.get(r)
+        for key in keys:
+            if row and row["below"] <= key[1] < row["below"] + (row["inside"] or 0):
+                open_ranks[key] = (r, row["lo"], row["hi"], row["below"])
+    while open_ranks:
+        for key, (_, low, high, _) in list(open_ranks.items()):
+            if low == high:
+                found[key] = low
+                del open_ranks[key]
+        if open_ranks:
+            open_ranks = _narrow(table, open_ranks)
+    return found
+
+
+def _narrow(table: DataFrame, open_ranks: dict) -> dict:
+    """One round on the stored values: the bin of each open rank, by its own smallest and largest value."""
+    ranges = list(dict.fromkeys(open_ranks.values()))
+    value, slots = F.col("v"), []
+    for k, (r, low, high, _) in enumerate(ranges):
+        # Halving first keeps the spread finite for any pair of doubles. Both ends have bins of
+        # their own, so that every round parts them.
+        share = (value / 2 - low / 2) / F.lit(high / 2 - low / 2)
+        inner = F.least(F.greatest(F.floor(share * BINS).cast("int"), F.lit(0)), F.lit(BINS - 1))
+        slot = F.when(value == low, -1).when(value == high, BINS).otherwise(inner)
+        slots.append(F.when((F.col("r") == r) & (value >= low) & (value <= high),
+                            F.struct(F.lit(k).alias("k"), slot.alias("bin"), "v", "n")))
+    rows = (table.select(F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"))
+                 .groupBy("s.k", "s.bin")
+                 .agg(F.sum("s.n").alias("n"), F.min("s.v").alias("lo"), F.max("s.v").alias("hi"))
+                 .orderBy("k", "bin").collect())
     bins = defaultdict(list)
     for row in rows:
-        bins[row["r"]].append(row)
+        bins[row["k"]].append(row)
     narrowed = {}
-    for r, ((i, lo, hi, below), keys) in enumerate(ranges.items()):
-        for key in keys:
-            start = below
-            for b in bins[r]:
-                if key[1] < start + b["n"]:
-                    low, high = b["lo"], b["hi"]
-                    if (low, high) == (lo, hi):
-                        # Neighbouring doubles that no bin edge separates: split at low.
-                        low, high, start = _split_at(wide, i, lo, hi, start, key[1])
-                    narrowed[key] = (low, high, start)
-                    break
-                start += b["n"]
+    for key, of in open_ranks.items():
+        start = of[3]
+        for b in bins[ranges.index(of)]:
+            if key[1] < start + b["n"]:
+                narrowed[key] = (of[0], b["lo"], b["hi"], start)
+                break
+            start += b["n"]
     return narrowed
-
-
-def _split_at(wide: DataFrame, i: int, lo: float, hi: float, start: int, rank: int):
-    value = F.col(f"c{i}")
-    row = (wide.where((value >= lo) & (value <= hi))
-               .agg(F.count_if(value == lo).alias("n"),
-                    F.min(F.when(value > lo, value)).alias("next")).first())
-    if rank < start + row["n"]:
-        return lo, lo, start
-    return row["next"], hi, start + row["n"]
