@@ -41,7 +41,7 @@ T = 64
 #: A bucket of so many sets (a quarter of a megabyte of tokens) is compared in one task.
 SMALL = 1024
 BLOCK = 128
-RECALL = 0.99
+RECALL = 0.999
 #: Splits that the number of runs allows for; a deeper bucket adds runs.
 DEPTH = 4
 SEED = 11
