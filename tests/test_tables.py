@@ -52,6 +52,8 @@ def test_filters(loader):
         return filters.load_transactions(loader, filters.TransactionFilter(**kw)).count()
 
     assert n() == 100 and n(is_laundering=1) == 5 and n(limit=10) == 10
+    first = loader.orderBy(*filters.FIRST_ROWS).limit(10).collect()
+    assert filters.load_transactions(loader.repartition(7), filters.TransactionFilter(limit=10)).collect() == first
     assert n(start=date(2022, 9, 1), end=date(2022, 9, 1)) == 4
     assert n(entity_id="ACC1") == 20 and n(from_bank="B2") == 20 and n(to_bank="B2") == 20
     assert n(payment_format="Wire") == 50 and n(currency="Euro") == 25

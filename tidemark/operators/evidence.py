@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import policy as P
 from tidemark.functions.columns import joined, number, rounded_text
+from tidemark.functions.text import number_is_known, numbers
 
 
 def best_rows(scored: DataFrame, row_key: str, floor: float | None = 0.35) -> DataFrame:
@@ -182,6 +183,21 @@ def narrate(entities: DataFrame) -> DataFrame:
         limits.alias("limitations")))
 
 
+def audit_numbers(records: DataFrame, key: str, texts: list[str], values: Column) -> DataFrame:
+    """(key, part, number_count, unknown_count, grounded): do written texts only name numbers of their record?
+
+    ``texts`` are columns of written text, ``values`` the record's own numbers as an array of doubles. A number is
+    known if it lies within a ten-thousandth (0.001 at least) of one of them. One row for each text that is there.
+    """
+    parts = F.filter(F.array(*(F.struct(F.lit(t).alias("part"), F.col(t).alias("text")) for t in texts)),
+                     lambda p: p["text"].isNotNull())
+    own = records.select(F.col(key), values.alias("_values"), F.explode(parts).alias("_p"))
+    found = own.select(key, "_p.part", "_values", numbers(F.col("_p.text")).alias("_numbers"))
+    unknown = F.size(F.filter("_numbers", lambda n: ~number_is_known(n, F.col("_values"))))
+    return found.select(key, "part", F.size("_numbers").alias("number_count"), unknown.alias("unknown_count"),
+                        (unknown == 0).alias("grounded"))
+
+
 def _title(text: Column) -> Column:
     """Capitalised words, also after a hyphen."""
     return F.replace(F.initcap(F.replace(text, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))

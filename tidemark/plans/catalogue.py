@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidemark import policy as P
 from tidemark.functions import columns as C
-from tidemark.functions.text import all_numbers_known, numbers
 from tidemark.operators import (aggregate, customers, drift, evidence, features, filters, forest,
                                 graph, profile, retrieval, risk, rules, stats, workflow)
 from tidemark.plans import oracle as O
@@ -1094,13 +1093,37 @@ def investigation_package(spark, sf):
     return out
 
 
-@query("numeric_grounding_audit")
+#: Numbers between token borders; the texts hold no other signs next to digits than these.
+_NUMBERS_SQL = r"""list_transform(list_filter(list_transform(string_split_regex(t, '[^\w$,.\-]+'),
+  lambda x: regexp_extract(x, '^(\$?-?[0-9][0-9,]*(?:\.[0-9]+)?)[.,\-]*$', 1)), lambda x: x <> ''),
+  lambda x: CAST(replace(replace(x, '$', ''), ',', '') AS DOUBLE))"""
+
+
+@query("numeric_grounding_audit", O.with_(*_ENTITIES) + f""", own AS (SELECT from_account AS entity_id,
+  [risk_score, txn_count::DOUBLE, total_amount, distinct_counterparties::DOUBLE] AS allowed, 'Entity ' || from_account
+  || ' received a composite risk score of ' || format('{{:.4f}}', risk_score) || ' from the detectors that ran.' AS explanation,
+  'the observed composite risk score is ' || format('{{:.4f}}', risk_score) || '.' AS sar_draft,
+  'Observed ' || format('{{:,}}', txn_count) || ' transactions totalling $' || format('{{:,.2f}}', total_amount) || '.' AS activity,
+  'Observed ' || format('{{:,}}', txn_count + 1) || ' transactions totalling $' || format('{{:,.2f}}', total_amount * 1.01) || '.' AS altered
+  FROM resolved JOIN tot USING (from_account)),
+parts AS (SELECT entity_id, allowed, 'explanation' AS part, explanation AS t FROM own UNION ALL
+  SELECT entity_id, allowed, 'sar_draft', sar_draft FROM own UNION ALL SELECT entity_id, allowed, 'activity', activity FROM own
+  UNION ALL SELECT entity_id, allowed, 'altered', altered FROM own),
+counted AS (SELECT entity_id, part, len(n) AS number_count, len(list_filter(n, lambda x: len(list_filter(allowed,
+  lambda v: abs(x - v) <= greatest(0.001, abs(v) * 0.0001))) = 0)) AS unknown_count
+  FROM (SELECT *, {_NUMBERS_SQL} AS n FROM parts) q)
+SELECT entity_id, part, CAST(number_count AS INTEGER) AS number_count, CAST(unknown_count AS INTEGER) AS unknown_count,
+  unknown_count = 0 AS grounded FROM counted""")
 def numeric_grounding_audit(spark, sf):
-    """Turns whose every number is one of the row's own values."""
-    talk = views.table(spark, sf, "conversations")
-    allowed = F.array(F.col("conv_id").cast("double"), F.col("turn").cast("double"))
-    return talk.select("conv_id", "turn", F.size(numbers(F.col("text"))).alias("number_count"),
-                       all_numbers_known(F.col("text"), allowed).alias("grounded"))
+    """Written texts against the numbers of their records; the altered ones must fail."""
+    found = shared(flagged_records(spark, sf))
+    told = evidence.narrate(found).select("entity_id", F.element_at("evidence_points", 1).alias("activity"))
+    altered = F.concat(F.lit("Observed "), F.format_number(F.col("txn_count") + 1, 0), F.lit(" transactions totalling $"),
+                       F.format_number(F.col("total_amount") * 1.01, 2), F.lit("."))
+    values = F.array("risk_score", F.col("txn_count").cast("double"), "total_amount",
+                     F.col("distinct_counterparties").cast("double"))
+    return evidence.audit_numbers(found.join(told, "entity_id").withColumn("altered", altered), "entity_id",
+                                  ["explanation", "sar_draft", "activity", "altered"], values)
 
 
 # ---- model ---------------------------------------------------------------------------
