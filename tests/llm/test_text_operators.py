@@ -142,6 +142,17 @@ def test_private_keys_go_with_their_body(spark):
     assert not any(k == "private_key" for k, *_ in secret_scan.scanner().spans(public))
 
 
+def test_a_rule_that_would_fill_memory_is_refused():
+    with pytest.raises(ValueError, match="states"):
+        secret_scan.Scanner((secret_scan.Rule("r", "[ab]*a[ab]{20}"),))
+
+
+def test_redaction_keeps_clashing_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "x token=abcdef1", "a", 2)], "doc_id long, text string, spans string, own int")
+    assert [tuple(r) for r in secret_scan.redact(df).collect()] == [(1, "x [secret]", "a", 2)]
+    assert secret_scan.redact(df.limit(0)).columns == df.columns and secret_scan.report(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("pattern", ["a(b|c)*d", "(ab|a)(bc)?", "[^a-c]{2,3}x", "a.c+", "x?y{2}z*"])
 def test_automata_match_like_an_expression_engine(pattern):
     scanner = secret_scan.Scanner((secret_scan.Rule("r", pattern),))

@@ -51,7 +51,7 @@ class Rule:
 #: these shares no character with them (a + only right behind a line break), which keeps the automaton small.
 _PEM_BEGIN = "-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
 _PEM = (_PEM_BEGIN + r"(?:(?:[^-]|-{1,4}[^-])*-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
-        r"|(?:(?:[\x20\t\r\"',>#|]|\n\+?|\\[nr])+(?:[A-Za-z0-9-]+:\x20[^\r\n\\-]*|=?[A-Za-z0-9+/]{16,}={0,2}))*)")
+        r"|(?:(?:[\x20\t\r\"',>#|]|\n\+?|\\[nr])+(?:[A-Za-z0-9-]+:\x20[^\r\n\\]*|=?[A-Za-z0-9+/]{16,}={0,2}))*)")
 
 #: States of one automaton, before states that no text tells apart are merged; beyond that a rule is an error.
 MOST_STATES = 4096
