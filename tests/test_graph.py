@@ -62,6 +62,15 @@ def test_bipartite_and_scatter_gather(found):
     assert row.intermediaries == named("relay", 4)
 
 
+def test_memberships_and_their_signals(spark):
+    members = graph.pattern_membership(graph.build_edges(frame(spark, PLANTED)))
+    got = {(r.account, r.pattern): (r.size, r.strength) for r in members.collect()}
+    assert got["hub", "fan_in"] == (5, 5 / 8) and got["hub", "fan_out"] == (3, 0.5) and got["twin1", "bipartite"] == (3, 3 / 5)
+    assert {a for a, p in got if p == "cycle"} == set(named("ring", 4)) and got["ring0", "cycle"] == (1, 0.5)
+    signals = {r.entity_id: (r.score, sorted(r.flags)) for r in graph.graph_signals(members).collect()}
+    assert signals["hub"] == (5 / 8, ["fan_in", "fan_out"]) and signals["twin0"] == (3 / 5, ["bipartite", "fan_out"])
+
+
 def test_summary_and_limits(spark, found):
     row = found.parts["summary"].first()
     n = len({x for pair in PLANTED for x in pair})

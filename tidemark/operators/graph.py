@@ -122,6 +122,30 @@ def _with_middle(best: DataFrame, a_side: DataFrame, b_side: DataFrame, a: str,
     return best.join(listed, [a, b], "left")
 
 
+def pattern_membership(edges: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:
+    """(account, pattern, size, strength): hubs, accounts with shared partners, and accounts on cycles.
+
+    Size is the hub's degree, the widest set of shared partners, or the number of cycles up to four accounts.
+    Strength is size / (size + least), with the least size that makes the pattern: a half there, near one far beyond.
+    """
+    def leg(found: DataFrame, pattern: str, size: Column, least: int) -> DataFrame:
+        n = size.cast("long")
+        return found.select("account", F.lit(pattern).alias("pattern"), n.alias("size"), (n / (n + least)).alias("strength"))
+
+    rings = cycle_accounts(edges).groupBy("account").agg(F.sum("cycle_count").alias("n"))
+    return (leg(fans(edges, "in", policy), "fan_in", F.col("degree"), policy.fan_degree)
+            .unionByName(leg(fans(edges, "out", policy), "fan_out", F.col("degree"), policy.fan_degree))
+            .unionByName(leg(bipartite_accounts(edges, policy), "bipartite", F.col("widest"), policy.shared_targets))
+            .unionByName(leg(rings, "cycle", F.col("n"), 1)))
+
+
+def graph_signals(membership: DataFrame) -> DataFrame:
+    """The graph detector's signal of each account: its strongest pattern, and all of them as flags."""
+    return membership.groupBy(F.col("account").alias("entity_id")).agg(
+        F.lit("graph_engine").alias("detector"), F.max("strength").alias("score"),
+        F.collect_set("pattern").alias("flags"), F.lit(False).alias("high_risk_country"))
+
+
 def gather_scatter(edges: DataFrame, policy: GraphPolicy = GraphPolicy()) -> DataFrame:
     """Hubs that both gather from and scatter to at least three accounts."""
     ends = edges.select(F.explode(F.array(

@@ -350,34 +350,6 @@ def escalation(spark, sf):
     return full_scored(spark, sf).select("event_id", r("risk_score"), "escalation_action")
 
 
-@query("entity_risk", O.with_(*O.FULL) + """, sig AS (
-  SELECT from_account AS e, 0.40 AS w, max(rule_score) AS s, bool_or(""" + O.COUNTRY + """) AS c FROM scored GROUP BY 1
-  UNION ALL SELECT from_account, 0.20, max(stat_score), false FROM scored GROUP BY 1),
-fl AS (SELECT from_account AS e, array_to_string(list_sort(list_distinct(flatten(list(rule_flags)))), ',') AS flags
-  FROM scored GROUP BY 1),
-d AS (SELECT e, max(s) AS strongest_score,
-  round(least(1.0, sum(s * w) / sum(w) + CASE WHEN bool_or(c) THEN 0.08 ELSE 0.0 END), 6) AS risk_score
-  FROM sig GROUP BY e)
-SELECT d.e AS entity_id, round(strongest_score, 6) AS strongest_score, flags, risk_score,
-  CASE WHEN risk_score < 0.45 THEN 'low' WHEN risk_score < 0.75 THEN 'medium' ELSE 'high' END AS risk_label,
-  CASE WHEN risk_score < 0.45 THEN 'monitor' WHEN risk_score < 0.75 THEN 'flag_for_review' ELSE 'report' END
-    AS escalation_action FROM d JOIN fl USING (e)""")
-def entity_risk(spark, sf):
-    scored = full_scored(spark, sf)
-    named = scored.withColumn("_f", F.explode_outer("rule_flags"))
-    by_rule = named.groupBy(F.col("from_account").alias("entity_id")).agg(
-        F.lit("rule_engine").alias("detector"), F.max("rule_score").alias("score"),
-        F.collect_set("_f").alias("flags"),
-        F.bool_or(C.high_risk_country(scored)).alias("high_risk_country"))
-    by_stat = scored.groupBy(F.col("from_account").alias("entity_id")).agg(
-        F.lit("statistical_engine").alias("detector"), F.max("stat_score").alias("score"),
-        F.array().cast("array<string>").alias("flags"), F.lit(False).alias("high_risk_country"))
-    merged = risk.merge_signals({"rule_engine": by_rule, "statistical_engine": by_stat})
-    return risk.decide_entities(merged).select(
-        "entity_id", r("strongest_score"), text_list("flags"), "risk_score", "risk_label",
-        "escalation_action")
-
-
 @query("flagged_entities", O.with_(*O.FULL, O.best()) + """SELECT from_account, event_id,
   round(risk_score, 6) AS risk_score, risk_label, array_to_string(rule_flags, ',') AS rule_flags FROM best""")
 def flagged_entities(spark, sf):
@@ -714,6 +686,53 @@ def graph_cycle_accounts(spark, sf):
     return graph.cycle_accounts(edges(spark, sf))
 
 
+_MEMBERS = _CYCLES + """, pairs AS (SELECT a.src AS x, b.src AS y, count(*) AS n FROM edges a
+  JOIN edges b ON a.dst = b.dst AND a.src < b.src GROUP BY 1, 2 HAVING count(*) >= 2),
+sized AS (SELECT dst AS account, 'fan_in' AS pattern, count(*) AS size, 3 AS least FROM edges GROUP BY 1 HAVING count(*) >= 3
+  UNION ALL SELECT src, 'fan_out', count(*), 3 FROM edges GROUP BY 1 HAVING count(*) >= 3
+  UNION ALL SELECT account, 'bipartite', max(n), 2 FROM (SELECT unnest([x, y]) AS account, n FROM pairs) q GROUP BY 1
+  UNION ALL SELECT account, 'cycle', count(*), 1 FROM (SELECT unnest(string_split(accounts, ',')) AS account FROM rings) q GROUP BY 1),
+members AS (SELECT account, pattern, size, size::DOUBLE / (size + least) AS strength FROM sized)
+"""
+
+
+@query("graph_pattern_members", _G + _MEMBERS
+       + "SELECT account, pattern, size, round(strength, 6) AS strength FROM members")
+def graph_pattern_members(spark, sf):
+    return graph.pattern_membership(edges(spark, sf)).withColumn("strength", r("strength"))
+
+
+@query("entity_risk", O.with_(*O.FULL, _EDGES) + _MEMBERS + """, sig AS (
+  SELECT from_account AS e, 0.40 AS w, max(rule_score) AS s, bool_or(""" + O.COUNTRY + """) AS c FROM scored GROUP BY 1
+  UNION ALL SELECT from_account, 0.20, max(stat_score), false FROM scored GROUP BY 1
+  UNION ALL SELECT account, 0.15, max(strength), false FROM members GROUP BY 1),
+named AS (SELECT from_account AS e, unnest(rule_flags) AS f FROM scored UNION SELECT account, pattern FROM members),
+fl AS (SELECT e, string_agg(f, ',' ORDER BY f) AS flags FROM named GROUP BY 1),
+d AS (SELECT e, max(s) AS strongest_score,
+  round(least(1.0, sum(s * w) / sum(w) + CASE WHEN bool_or(c) THEN 0.08 ELSE 0.0 END), 6) AS risk_score
+  FROM sig GROUP BY e)
+SELECT d.e AS entity_id, round(strongest_score, 6) AS strongest_score, coalesce(flags, '') AS flags, risk_score,
+  CASE WHEN risk_score < 0.45 THEN 'low' WHEN risk_score < 0.75 THEN 'medium' ELSE 'high' END AS risk_label,
+  CASE WHEN risk_score < 0.45 THEN 'monitor' WHEN risk_score < 0.75 THEN 'flag_for_review' ELSE 'report' END
+    AS escalation_action FROM d LEFT JOIN fl USING (e)""")
+def entity_risk(spark, sf):
+    """Rules, statistics and graph patterns of each account in one decision."""
+    scored = shared(full_scored(spark, sf))
+    named = scored.withColumn("_f", F.explode_outer("rule_flags"))
+    by_rule = named.groupBy(F.col("from_account").alias("entity_id")).agg(
+        F.lit("rule_engine").alias("detector"), F.max("rule_score").alias("score"),
+        F.collect_set("_f").alias("flags"),
+        F.bool_or(C.high_risk_country(scored)).alias("high_risk_country"))
+    by_stat = scored.groupBy(F.col("from_account").alias("entity_id")).agg(
+        F.lit("statistical_engine").alias("detector"), F.max("stat_score").alias("score"),
+        F.array().cast("array<string>").alias("flags"), F.lit(False).alias("high_risk_country"))
+    by_graph = graph.graph_signals(graph.pattern_membership(edges(spark, sf)))
+    merged = risk.merge_signals({"rule_engine": by_rule, "statistical_engine": by_stat, "graph_engine": by_graph})
+    return risk.decide_entities(merged).select(
+        "entity_id", r("strongest_score"), text_list("flags"), "risk_score", "risk_label",
+        "escalation_action")
+
+
 # ---- drift ---------------------------------------------------------------------------
 
 def _psi_sql(source: str, columns: list[str], floor_psi: str) -> str:
