@@ -197,3 +197,15 @@ def test_drift_of_nothing_and_monitor(spark):
     assert drift.overall_drift(report, inclusive=True).first().status == "drift"
     with pytest.raises(ValueError):
         drift.inner_edges(column(spark, [1, 2]), ["x"], 1)
+
+
+def test_model_drift_says_what_it_did_not_evaluate(spark):
+    one = spark.createDataFrame([(float(i), 1.0) for i in range(30)], "x double, y double")
+    row, = drift.model_drift("m", one, spark.range(3)).collect()
+    assert (row.model_id, row.feature, row.status, row.overall_status) == ("m", None, "not_evaluated", "not_evaluated")
+    moved = one.withColumn("x", one.x + 100)
+    rows = {r.feature: r for r in drift.model_drift("m", one, moved).collect()}
+    assert rows["x"].status == "drift" and rows["y"].status == "stable" and rows["x"].baseline_count == 30
+    assert all(r.overall_status == "drift" and r.overall_psi == rows["x"].psi for r in rows.values())
+    with pytest.raises(ValueError):
+        drift.model_drift("m", one, one.limit(1))

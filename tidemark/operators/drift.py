@@ -74,6 +74,31 @@ def monitor_drift(baseline: DataFrame, current: DataFrame,
     return drift_report(baseline, current, shared, policy=policy, inclusive=True)
 
 
+def model_drift(model_id: str, baseline: DataFrame, current: DataFrame,
+                policy: DriftPolicy = DriftPolicy()) -> DataFrame:
+    """The monitor's report of a model: a row per shared feature with its counts, and the overall state.
+
+    Where the sides share no feature, one row says ``not_evaluated`` and why.
+    """
+    shared = sorted(set(baseline.columns) & set(current.columns))
+    kind = ("model_id string, feature string, psi double, status string, baseline_count long, current_count long, "
+            "overall_psi double, overall_status string, note string")
+    spark = baseline.sparkSession
+    if not shared:
+        return spark.createDataFrame([(model_id, None, None, "not_evaluated", None, None, None, "not_evaluated",
+                                       "The two sides have no feature in common.")], kind)
+    counts = [df.agg(*(F.count(_finite(c)).alias(c) for c in shared)).first() for df in (baseline, current)]
+    if min(min(c) for c in counts) < 2:
+        raise ValueError("baseline and current need at least two values per feature")
+    sizes = spark.createDataFrame([(f, counts[0][f], counts[1][f]) for f in shared],
+                                  "feature string, baseline_count long, current_count long")
+    report = drift_report(baseline, current, shared, policy=policy, inclusive=True)
+    worst = overall_drift(report, policy=policy, inclusive=True).withColumnRenamed("status", "overall_status")
+    return (report.join(sizes, "feature").join(F.broadcast(worst))  # one row
+            .select(F.lit(model_id).alias("model_id"), "feature", "psi", "status", "baseline_count", "current_count",
+                    "overall_psi", "overall_status", F.lit(None).cast("string").alias("note")))
+
+
 def _finite(name: str) -> Column:
     value = F.col(name).cast("double")
     return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)

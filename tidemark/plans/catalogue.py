@@ -769,6 +769,19 @@ def psi_feature(spark, sf):
     return drift.drift_report(base, current, ["amount_paid"], inclusive=True)
 
 
+_MONITORED = ["amount_paid", "amount_received"]
+
+
+@query("drift_monitor", O.with_(views.TXN_CTE, "p AS (" + O.with_(views.TXN_CTE) + _psi_sql("txn", _MONITORED, "psi >= 0.2") + ")")
+       + """SELECT 'txn-amounts' AS model_id, feature, psi, status, (SELECT count(*) FROM txn WHERE txn_date < DATE '2024-01-16')
+  AS baseline_count, (SELECT count(*) FROM txn WHERE txn_date >= DATE '2024-01-16') AS current_count,
+  (SELECT max(psi) FROM p) AS overall_psi, (SELECT CASE WHEN max(psi) >= 0.2 THEN 'drift' WHEN max(psi) >= 0.1 THEN 'caution'
+  ELSE 'stable' END FROM p) AS overall_status FROM p""")
+def drift_monitor(spark, sf):
+    base, current = (df.select(*_MONITORED) for df in halves(views.txn(spark, sf)))
+    return drift.model_drift("txn-amounts", base, current).drop("note")
+
+
 @query("drift_report", O.with_(views.TXN_CTE, O.features()) + _psi_sql("feat", P.MODEL_FEATURES, "psi > 0.2"))
 def drift_report(spark, sf):
     t = views.txn(spark, sf)
