@@ -22,6 +22,7 @@ ACCURACY = 10_000
 #: Brackets reach as many times the sketch's error to both sides.
 MARGIN = 2
 BINS = 1024
+_REGIONS = 1 << 20
 
 
 def exact_quantiles(df: DataFrame, columns: list[str],
@@ -71,23 +72,35 @@ def _ranked(wide: DataFrame, brackets: dict) -> dict[tuple[int, int], float]:
     """Values of ranks that lie in their bracket (column, low, high); others are left out."""
     if not brackets:
         return {}
+    # Brackets of a column that overlap become one; regions 2j lie before the j-th, 2j + 1 are inside.
+    inside: dict[int, list[tuple[float, float]]] = defaultdict(list)
+    for i, low, high in sorted(brackets):
+        own = inside[i]
+        if own and low <= own[-1][1]:
+            own[-1] = own[-1][0], max(high, own[-1][1])
+        else:
+            own.append((low, high))
     slots = []
-    for r, (i, low, high) in enumerate(brackets):
-        value = F.col(f"c{i}")
-        slots.append(F.when(value <= high, F.struct(
-            F.lit(r).alias("r"), F.when(value >= low, value).alias("v"))))
+    for i, own in inside.items():
+        value, region = F.col(f"c{i}"), F.when(F.lit(False), 0)
+        for j, (low, high) in enumerate(own):
+            region = region.when(value < low, 2 * j).when(value <= high, 2 * j + 1)
+        slots.append(F.when(value.isNotNull(), F.struct(
+            F.lit(i).alias("i"), region.otherwise(2 * len(own)).alias("region"), value.alias("v"))))
     table = stored(wide.select(F.explode(F.filter(F.array(*slots), lambda s: s.isNotNull())).alias("s"))
-                   .groupBy("s.r", "s.v").agg(F.count("*").alias("n")))
+                   .groupBy((F.col("s.i") * _REGIONS + F.col("s.region")).alias("r"),
+                            F.when(F.col("s.region") % 2 == 1, F.col("s.v")).alias("v"))
+                   .agg(F.count("*").alias("n")))
     sizes = {row["r"]: row for row in table.groupBy("r").agg(
-        F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("below"),
-        F.sum(F.when(F.col("v").isNotNull(), F.col("n"))).alias("inside"),
-        F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
+        F.sum("n").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
     found, open_ranks = {}, {}
-    for r, keys in enumerate(brackets.values()):
-        row = sizes.get(r)
+    for (i, low, high), keys in brackets.items():
+        j = next(j for j, (a, b) in enumerate(inside[i]) if a <= low <= b)
+        r = i * _REGIONS + 2 * j + 1
+        below = sum(row["n"] for k, row in sizes.items() if i * _REGIONS <= k < r)
         for key in keys:
-            if row and row["below"] <= key[1] < row["below"] + (row["inside"] or 0):
-                open_ranks[key] = (r, row["lo"], row["hi"], row["below"])
+            if r in sizes and below <= key[1] < below + sizes[r]["n"]:
+                open_ranks[key] = (r, sizes[r]["lo"], sizes[r]["hi"], below)
     while open_ranks:
         for key, (_, low, high, _) in list(open_ranks.items()):
             if low == high:
