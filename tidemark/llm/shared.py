@@ -13,9 +13,11 @@ _SETTING = "spark.checkpoint.dir"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where none is (tests)."""
+    """The session's shared folder; a temporary one is set only where none is and the session is local (tests)."""
     folder = spark.conf.get(_SETTING, None)
     if not folder:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise ValueError(f"{_SETTING} must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set(_SETTING, folder)
     return folder.rstrip("/")
@@ -32,6 +34,14 @@ def keep(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it, for a column of an operator's own."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def arrow(kind: str):
     """Make a function of Arrow arrays a function of columns; ``kind`` is what it returns."""
     def wrap(f):

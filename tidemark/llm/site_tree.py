@@ -9,12 +9,18 @@ importance, which are the menus, notices and footers that a site repeats, are cu
 every page. Pages that equal each other count once, and a node seen on fewer than
 ``LEAST_PAGES`` pages is not judged by its numbers.
 
-Numbers can't tell a form or a script from an article, so elements whose tag or class names them as
-such (``NOISE``) have no importance, and where a page marks its article nothing else has.
+Numbers can't tell a form or an advert that changes with each page from an article, so two kinds of marks help.
+Elements whose tag says so (``NOISE_TAGS``) are never text. A class or id that names a menu, an advert and
+the like marks its branch, by whole words and not where it only speaks of one (``no-sidebar``,
+``has-comments``); ``html``, ``body``, ``main`` and an outermost ``article`` can't be marked, and a
+marked branch is text after all where it wraps ``WRAPS`` of a page without an unmarked article. Of the
+``article`` and ``main`` elements the smallest that holds at least half of a page's text stands for it; where none
+does (teasers, lists of articles), all is left to the tree.
 
 Counting is per (host, node, text): a hot host is pre-aggregated and spread over its texts.
 What a host has to cut is one short row. Null or empty html gives an empty text; a null
-URL or one without host is a host of its own, the empty one. Repeated rows each get their text.
+URL or one without host is a host of its own, the empty one. Repeated rows each get their text, an
+empty table gives an empty one. Other columns pass through, whatever their names; one named like the result is replaced.
 """
 
 from __future__ import annotations
@@ -28,12 +34,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.shared import arrow, keep
+from tidemark.llm.shared import arrow, free_name, keep
 from tidemark.llm.url_filter import host
 
 GAMMA = 0.9
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.2
+WRAPS = 0.9
 
 #: Elements that begin and end a block of text.
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset
@@ -45,10 +52,12 @@ RAW = frozenset("script style noscript template textarea title iframe xmp nofram
 #: Elements that are never part of an article.
 NOISE_TAGS = RAW | frozenset("""head nav aside footer form button select option input label fieldset menu dialog
 object canvas audio video""".split())
-_NOISE = re.compile(r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|
+#: Words of a class or id that name a branch that is no article, and words that only speak of one.
+_NOISE = re.compile(r"""(?:^|[_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|
 side-?bar|aside|footer|site-?header|page-?header|masthead|cookies?|consent|notice|popup|modal|newsletter|subscribe|
 social|share|sharing|related|recommend\w*|comments?|commentlist|respond|replies|disqus|pagination|pager|toolbar|
-widget|login|signup|search)(?:$|[\s_-])""", re.I | re.X)
+widget|login|signup|search)(?:$|[_-])""", re.I | re.X)
+_ABOUT = re.compile(r"(?:^|[_-])(?:no|non|not|without|with|has|have|is|hide|show|enable|disable|supports?)[_-]", re.I)
 _TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
 _CLASS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: What an opening tag ends, if it is open.
@@ -59,34 +68,72 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 
 class Node:
-    """An open element that is a block: its path as a hash, and whether it is noise."""
+    """An open element that is a block: its path as a hash, whether it is noise, and the marks around it."""
 
-    __slots__ = ("tag", "key", "noise", "article", "children")
+    __slots__ = ("tag", "key", "noise", "marks", "regions", "children")
 
-    def __init__(self, tag: str, key: int, noise: bool, article: bool) -> None:
-        self.tag, self.key, self.noise, self.article = tag, key, noise, article
+    def __init__(self, tag: str, key: int, noise: bool, marks: tuple[int, ...], regions: tuple[int, ...]) -> None:
+        self.tag, self.key, self.noise, self.marks, self.regions = tag, key, noise, marks, regions
         self.children: list[int] = []
 
 
+class Block:
+    """A text of a page, its node with the path to it, and what surrounds it."""
+
+    __slots__ = ("node", "path", "text", "noise", "marks", "regions", "inside")
+
+    def __init__(self, path: tuple[int, ...], text: str, top: Node) -> None:
+        self.node, self.path, self.text, self.noise = top.key, path, text, top.noise
+        self.marks, self.regions, self.inside = top.marks, top.regions, True
+
+
+def _marked(name: str) -> bool:
+    return any(_NOISE.search(word) and not _ABOUT.search(word) for word in name.split())
+
+
+def _settle(blocks: list[Block], bare: bool) -> None:
+    """Decide, with the whole page known, which marks stand and what is inside its article.
+
+    ``bare``: whether the page has an article that no mark surrounds.
+    """
+    def sizes(kind: str) -> dict[int, int]:
+        out: dict[int, int] = {}
+        for b in blocks:
+            if not b.noise:
+                for i in getattr(b, kind):
+                    out[i] = out.get(i, 0) + len(b.text)
+        return out
+
+    whole = sum(len(b.text) for b in blocks if not b.noise)
+    void = set() if bare else {i for i, n in sizes("marks").items() if n >= WRAPS * whole}
+    for b in blocks:
+        b.noise = b.noise or not void.issuperset(b.marks)
+    whole = sum(len(b.text) for b in blocks if not b.noise)
+    fit = [(n, -i) for i, n in sizes("regions").items() if 2 * n >= whole]
+    if fit:
+        best = -min(fit)[1]
+        for b in blocks:
+            b.inside = best in b.regions
+
+
 def _key(parent: int, tag: str, name: str) -> int:
     return xxhash.xxh64_intdigest(f"{parent}/{tag}.{name}") - (1 << 63)
 
 
-def walk(page: str) -> tuple[list[tuple[int, tuple[int, ...], str, bool, bool]], list[tuple[int, int, int]]]:
+def walk(page: str) -> tuple[list[Block], list[tuple[int, int, int]]]:
     """Blocks of text, and elements, of a page.
 
-    A block: (node, its path from the root, text, whether noise, whether in an article). An
-    element: (node, parent, hash of its children's sequence). Inline markup belongs to its block.
+    An element: (node, parent, hash of its children's sequence). Inline markup belongs to its block.
     """
-    root = Node("", 0, False, False)
+    root = Node("", 0, False, (), ())
     stack, blocks, elements, words = [root], [], [], []
+    opened, bare = 0, False
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(words)).split())
         words.clear()
         if text:
-            top = stack[-1]
-            blocks.append((top.key, tuple(x.key for x in stack[1:]), text, top.noise, top.article))
+            blocks.append(Block(tuple(x.key for x in stack[1:]), text, stack[-1]))
 
     def close(upto: int) -> None:
         flush()
@@ -134,16 +181,20 @@ def walk(page: str) -> tuple[list[tuple[int, tuple[int, ...], str, bool, bool]],
             parent = stack[-1]
             name = " ".join(sorted(filter(None, (a or b or c for a, b, c in _CLASS.findall(m[3]))))).lower()
             key = _key(parent.key, tag, " ".join(c for c in name.split() if not any(x.isdigit() for x in c)))
-            article = parent.article or tag in ("article", "main") or name == "main"
-            noise = (parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.article
-                     or bool(_NOISE.search(name)))
+            opened += 1
+            region = tag in ("article", "main") or name == "main"
+            noise = parent.noise or tag in NOISE_TAGS or tag == "header" and not parent.regions
+            markable = tag not in ("html", "body", "main") and (tag != "article" or parent.regions)
+            marks = parent.marks + ((opened,) if markable and _marked(name) else ())
+            bare = bare or region and not noise and not marks
             parent.children.append(key)
-            stack.append(Node(tag, key, noise, article))
+            stack.append(Node(tag, key, noise, marks, parent.regions + ((opened,) if region else ())))
         elif tag in VOID:
             words.append(" ")
         elif tag in NOISE_TAGS and not m[3].endswith("/"):
             inline_noise.append(tag)
     close(1)
+    _settle(blocks, bare)
     return blocks, elements
 
 
@@ -156,9 +207,7 @@ def hash_of(keys: list[int]) -> int:
 def main_text(page: str, cut: frozenset[int] | set[int] = frozenset()) -> str:
     """The text of a page without noise and without the branches at the nodes of ``cut``."""
     blocks, _ = walk(page)
-    whole = any(article and not noise for *_, noise, article in blocks)
-    return "\n".join(text for _, path, text, noise, article in blocks
-                     if not noise and (article or not whole) and cut.isdisjoint(path))
+    return "\n".join(b.text for b in blocks if b.inside and not b.noise and cut.isdisjoint(b.path))
 
 
 def counts(pages: DataFrame) -> DataFrame:
@@ -173,10 +222,10 @@ def counts(pages: DataFrame) -> DataFrame:
         out = []
         for h in htmls:
             blocks, elements = walk(h.as_py() or "")
-            page = xxhash.xxh64_intdigest("\n".join(b[2] for b in blocks)) - (1 << 63)
+            page = xxhash.xxh64_intdigest("\n".join(b.text for b in blocks)) - (1 << 63)
             rows = {(0, node, parent, item) for node, parent, item in elements}
-            rows |= {(1, b[0], b[1][-2] if len(b[1]) > 1 else 0, xxhash.xxh64_intdigest(b[2]) - (1 << 63))
-                     for b in blocks if not b[3]}
+            rows |= {(1, b.node, b.path[-2] if len(b.path) > 1 else 0, xxhash.xxh64_intdigest(b.text) - (1 << 63))
+                     for b in blocks if not b.noise}
             out.append([{"page": page, "kind": k, "node": n, "parent": p, "item": i} for k, n, p, i in rows])
         return pa.array(out, pa.list_(pa.struct([("page", pa.int64()), ("kind", pa.int32()), ("node", pa.int64()),
                                                  ("parent", pa.int64()), ("item", pa.int64())])))
@@ -249,18 +298,19 @@ def branches_to_cut(pages: DataFrame, least: float = LEAST_IMPORTANCE, least_pag
         .select("host", cut("tree").alias("cut")).where(F.size("cut") > 0))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """Pages with their main text."""
+def extract(pages: DataFrame, into: str = "main_text") -> DataFrame:
+    """Pages (with url, html) and their main text in the column ``into``."""
     @arrow("string")
     def text(htmls: pa.Array, cuts: pa.Array) -> pa.Array:
         return pa.array([main_text(h.as_py() or "", frozenset(c.as_py() or ())) for h, c in zip(htmls, cuts)],
                         pa.string())
 
-    cuts = keep(branches_to_cut(pages))
-    out = pages.withColumn("__host", host(F.col("url"))).join(cuts.withColumnRenamed("host", "__host"), "__host", "left")
-    return out.withColumn("__text", text("html", "cut"))
+    site, cut = free_name(pages, "site"), free_name(pages, "cut")
+    cuts = keep(branches_to_cut(pages.select("url", "html"))).select(F.col("host").alias(site), F.col("cut").alias(cut))
+    out = pages.withColumn(site, host(F.col("url"))).join(cuts, site, "left").withColumn(into, text("html", cut))
+    return out.drop(site, cut)
 
 
 def report(pages: DataFrame) -> DataFrame:
-    return extract(pages.select("page_id", "url", "html")).select(
-        "page_id", "url", F.col("__text").alias("text"), F.length("__text").cast("long").alias("n_chars"))
+    return extract(pages.select("page_id", "url", "html"), "text").select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
