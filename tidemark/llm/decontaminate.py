@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.shared import arrow, keep
+from tidemark.llm.shared import arrow, free_name, keep
 
 SIZE = 10
 BLOCK = 200_000
@@ -168,14 +168,16 @@ def n_hit(column: str = "__scan") -> Column:
 
 def drop_documents(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """Only documents that hold no n-gram of the benchmark; columns stay as they are."""
-    found = scan(documents, benchmark, size)
-    return found.where(F.length(F.col("__scan")["bits"]) == 0).select(*map(_name, documents.columns))
+    own = free_name(documents, "__scan")
+    found = scan(documents, benchmark, size, column=own)
+    return found.where(F.length(F.col(own)["bits"]) == 0).select(*map(_name, documents.columns))
 
 
 def remove_spans(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """All documents, with the words under found n-grams cut out of their texts."""
-    found = scan(documents, benchmark, size)
-    return (found.withColumn("text", _without("text", F.col("__scan")["bits"]))
+    own = free_name(documents, "__scan")
+    found = scan(documents, benchmark, size, column=own)
+    return (found.withColumn("text", _without("text", F.col(own)["bits"]))
             .select(*map(_name, documents.columns)))
 
 

@@ -33,7 +33,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.llm import words
 from tidemark.llm.components import components
-from tidemark.llm.shared import arrow, keep
+from tidemark.llm.shared import arrow, free_name, keep
 
 SIZE = 5
 LEAST = 0.8
@@ -323,10 +323,11 @@ def drop_near_copies(documents: DataFrame) -> DataFrame:
 
     Texts without shingles are kept.
     """
-    rows = keep(documents.withColumn("__row", F.monotonically_increasing_id()))
-    classes = _classes(rows.select(F.col("__row").alias("row"), F.col("__row").alias("key"), "text"))
-    first = classes.where("key = class_id").select(F.col("key").alias("__row"))
-    return rows.join(first, "__row", "left_semi").select(*(f"`{c}`" for c in documents.columns))
+    own = free_name(documents, "__row")
+    rows = keep(documents.withColumn(own, F.monotonically_increasing_id()))
+    classes = _classes(rows.select(F.col(own).alias("row"), F.col(own).alias("key"), "text"))
+    first = classes.where("key = class_id").select(F.col("key").alias(own))
+    return rows.join(first, own, "left_semi").select(*(f"`{c}`" for c in documents.columns))
 
 
 def report(documents: DataFrame) -> DataFrame:

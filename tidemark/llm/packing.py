@@ -108,9 +108,11 @@ def _places(counts: list[int], window: int) -> list[tuple[int, int, int, int, in
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Pieces (any columns, with ``length``) with sequence_id and offset."""
+    """Pieces (any columns, with ``length``) with sequence_id and offset, which replace columns of these names."""
     spark = pieces.sparkSession
-    rows = keep(pieces.withColumn("__row", F.monotonically_increasing_id()))
+    # inside, the other columns go by number, so that their names can't clash
+    own = {c: c if c == "length" else f"own_{i}" for i, c in enumerate(pieces.columns)}
+    rows = keep(pieces.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())).withColumn("__row", F.monotonically_increasing_id()))
     n_buckets = max(1, -(-rows.count() // _BUCKET_ROWS))
     rows = rows.withColumn("__bucket", F.pmod(F.xxhash64("__row"), F.lit(n_buckets)))
     counts = keep(rows.groupBy("length", "__bucket").agg(F.count(F.lit(1)).alias("n")))
@@ -127,10 +129,9 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
               .withColumn("__number", F.col("__number") + F.col("__before")))
     # the list of multisets depends on the window, not on the number of documents
     step = F.col("__number") - F.col("__from")
-    own = pieces.columns
     return (ranked.alias("r").join(F.broadcast(places).alias("p"), (F.col("r.length") == F.col("p.length"))
                                    & F.col("__number").between(F.col("__from"), F.col("__to") - 1))
-            .select(*(F.col(f"r.`{c}`") for c in own),
+            .select(*(F.col(f"r.{n}").alias(c) for c, n in own.items() if c not in ("sequence_id", "offset")),
                     (F.col("__sequence") + F.floor(step / F.col("__each"))).alias("sequence_id"),
                     (F.col("__offset") + F.col("r.length") * (step % F.col("__each"))).alias("offset")))
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import words
-from tidemark.llm.shared import arrow
+from tidemark.llm.shared import arrow, free_name
 
 SAMPLE = 20_000
 TREES = 100
@@ -235,7 +235,8 @@ def judge(documents: DataFrame, labels: DataFrame, column: str = "__quality", sa
 
 def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Only the documents that the rules keep; columns stay as they are."""
-    return judge(documents, labels).where("__quality.kept").select(*(f"`{c}`" for c in documents.columns))
+    own = free_name(documents, "__quality")
+    return judge(documents, labels, own).where(F.col(own)["kept"]).select(*(f"`{c}`" for c in documents.columns))
 
 
 def report(documents: DataFrame, labels: DataFrame) -> DataFrame:

@@ -67,9 +67,11 @@ def scatter(documents: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
 
 def shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEED,
             bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """Pass two: documents with __shard and __slot, in the order of the shuffle."""
+    """Pass two: documents with __shard and __slot, which replace columns of these names, in the order of the shuffle."""
     n = buckets_for(documents, bucket_bytes)
-    scattered = scatter(documents, n, seed)
+    # inside, columns go by number, so that their names can't clash
+    own = {c: f"own_{i}" for i, c in enumerate(documents.columns)}
+    scattered = scatter(documents.toDF(*own.values()), n, seed)
     order = Window.orderBy("__bucket")
     # one row for each bucket, so its size is bounded by bytes / bucket_bytes
     starts = (scattered.groupBy("__bucket").agg(F.count(F.lit(1)).alias("n")).select(
@@ -88,7 +90,7 @@ def shuffle(documents: DataFrame, shards: int = SHARDS, seed: int = SEED,
     whole = (scattered.groupBy("__bucket").applyInArrow(permuted, placed)
              .join(F.broadcast(starts), "__bucket"))
     position = F.col("__start") + F.col("__place")
-    return whole.select(*(F.col(f"`{c}`") for c in documents.columns),
+    return whole.select(*(F.col(i).alias(c) for c, i in own.items() if c not in ("__shard", "__slot")),
                         (position % shards).cast("int").alias("__shard"),
                         F.expr(f"(__start + __place) div {int(shards)}").alias("__slot"))
 
