@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark import schema as S
 from tidemark.functions.columns import clean, readable_number, trimmed
 from tidemark.functions.sampling import bottom_k, hash_key
+from tidemark.sources import versions
 
 
 def read_raw_csv(spark: SparkSession, path: str, headers: list[str] | None = None) -> DataFrame:
@@ -94,40 +95,28 @@ def stratified_sample(df: DataFrame, key_columns: list[str] | None = None, *,
 
 def publish_table(df: DataFrame, table: str, *, force: bool = False,
                   partition_by: str | None = None) -> int:
-    """Write to a staging table, check it, then put it in place; returns the row count.
+    """Publish a version of the table (see ``versions``); returns the row count.
 
-    An existing table is left alone unless ``force``; an empty load is an error and leaves
-    the old table untouched.
+    An existing table is left alone unless ``force``; an empty or failed load is an error and
+    readers go on with the old rows.
     """
     spark = df.sparkSession
     if spark.catalog.tableExists(table) and not force:
         return spark.table(table).count()
-    staging = f"{table}__staging"
-    spark.sql(f"DROP TABLE IF EXISTS {staging}")
-    writer = df.write.mode("overwrite")
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.saveAsTable(staging)
-    rows = spark.table(staging).count()
-    if not rows:
-        spark.sql(f"DROP TABLE {staging}")
-        raise ValueError(f"nothing to load into {table}")
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
-    spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
-    return rows
+    return versions.publish(df, table, partition_by=partition_by)
 
 
 def append_rows(df: DataFrame, table: str) -> None:
     """Append by column name, in the table's own order."""
-    target = df.sparkSession.table(table).columns
-    S.require_columns(df.columns, target, f"an append to {table}")
-    df.select(*target).write.insertInto(table)
+    S.require_columns(df.columns, df.sparkSession.table(table).columns, f"an append to {table}")
+    versions.append(df, table)
 
 
 def ingest_transactions(spark: SparkSession, path: str, table: str, *,
                         force: bool = False) -> int:
+    """Partitioned by day, which filters on ``txn_date`` prune."""
     raw = read_raw_csv(spark, path, S.RAW_TRANSACTION_HEADERS)
-    return publish_table(canonical_transactions(raw), table, force=force)
+    return publish_table(canonical_transactions(raw), table, force=force, partition_by="txn_date")
 
 
 def ingest_knowledge(spark: SparkSession, path: str, table: str, *,
