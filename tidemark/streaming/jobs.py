@@ -21,6 +21,7 @@ def ingest_arrivals(spark: SparkSession, folder: str, target: str, checkpoint: s
     The checkpoint lists the files already taken. A batch writes its own ``batch``
     partition with overwrite, so a batch that is run again after a failure replaces its
     rows instead of doubling them. ``then`` may start an investigation on the batch.
+    File names must not read as globs; ``arrivals.ingest_files`` takes those too, and other layouts.
     """
     raw = (spark.readStream.schema(S.raw_string_schema(S.RAW_TRANSACTION_HEADERS))
                 .option("header", True).option("pathGlobFilter", pattern).csv(folder)

@@ -39,6 +39,7 @@ def look_back(transactions: DataFrame, target: str, checkpoint: str, *, row_key:
 
     ``row_key`` must be unique. Its rows carry key, time, accounts, amount and the wanted features;
     other columns, whatever their names, stay behind and are met by the key. Empty batches write empty results.
+    A target belongs to one checkpoint: a new one needs a new target.
     """
     unknown = sorted(set(wanted) - set(EXACT))
     if unknown or not wanted:
