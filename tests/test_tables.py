@@ -113,6 +113,22 @@ def test_customer_profile(small_bank):
     assert [r.currency for r in parts["currencies"].collect()] == ["EUR", "USD"]
     assert parts["known_positives"].first().known_positives == 1
     assert {r.counterparty for r in parts["counterparties"].collect()} == {"ACC-002", "ACC-003"}
+    assert "alerts" not in parts
+
+
+def test_profile_alerts_and_totals(spark, small_bank):
+    alerts = spark.createDataFrame(
+        [(f"AL{i}", "ACC-001" if i < 4 else "ACC-002", .5, "new", datetime(2024, 5, 1 + i % 3)) for i in range(6)],
+        "alert_id string, entity_id string, risk_score double, status string, created_at timestamp")
+    parts = customers.customer_profile(small_bank, "ACC-001", alerts, newest=3)
+    assert [a.alert_id for a in parts["alerts"].collect()] == ["AL2", "AL1", "AL0"]
+    assert customers.customer_profile(small_bank, "nobody", alerts)["alerts"].isEmpty()
+    rows = customers.customer_page(small_bank, alerts, limit=1, offset=1, total="of").collect()
+    assert len(rows) == 1 and rows[0].of == customers.customer_page(small_bank, alerts).count()
+    found = filters.evidence_page(small_bank, filters.EvidenceFilter(account_id="ACC-001"), limit=1, total="of")
+    assert [r.of for r in found.collect()] == [2]
+    with pytest.raises(ValueError, match="timestamp"):
+        filters.evidence_page(small_bank, filters.EvidenceFilter(), total="timestamp")
 
 
 def test_evidence_browser(small_bank):

@@ -268,3 +268,20 @@ def test_shared_frames_are_checkpointed_where_the_cluster_says_so(spark):
     df = shared(spark.range(10).withColumn("x", F.col("id") * 2))
     assert "Scan ExistingRDD" in df._jdf.queryExecution().executedPlan().toString()
     assert df.agg(F.sum("x")).first()[0] == 90
+
+
+def test_investigation_detail(spark):
+    rows = [("I1", datetime(2024, 1, 1), "in_review", '{"dataset_id":"d","flagged_entities":[{"a":1},{"a":2},{"a":3}]}'),
+            ("I2", datetime(2024, 1, 2), "closed", None), ("I3", None, None, "not json")]
+    investigations = spark.createDataFrame(rows, "investigation_id string, created_at timestamp, status string, payload string")
+    alerts = spark.createDataFrame([("I1", "high", "new", "pending"), ("I1", "low", "closed", "true_positive"), ("I3", None, None, None)],
+                                   "investigation_id string, risk_label string, status string, disposition string")
+
+    def detail(i):
+        return [(r.dataset_id, r.disposition, r.flagged_count, r.alert_count, r.high_risk_count, r.open_alert_count)
+                for r in workflow.investigation_detail(investigations, alerts, i).collect()]
+
+    assert detail("I1") == [("d", "pending", 3, 2, 1, 1)]
+    assert detail("I2") == [(None, "pending", 0, 0, 0, 0)]
+    assert detail("I3") == [(None, "pending", 1, 1, 0, 0)]
+    assert detail("none") == []

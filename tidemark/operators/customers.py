@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.paging import page
 from tidemark.operators.filters import in_risk_band
 
 
@@ -94,10 +95,11 @@ def _with_alerts(found: DataFrame, alerts: DataFrame | None) -> DataFrame:
 
 
 def customer_page(df: DataFrame, alerts: DataFrame | None = None, *, search: str | None = None,
-                  band: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+                  band: str | None = None, limit: int = 50, offset: int = 0,
+                  total: str | None = None) -> DataFrame:
     """One page of customers: highest risk first, then most active.
 
-    The order only needs counts, so accounts are ranked on those and the full summary is
+    ``total`` names a column for the number of customers on all pages. The order only needs counts, so accounts are ranked on those and the full summary is
     taken for the page's own rows: the transfers meet at most ``limit`` broadcast accounts.
     """
     if not 1 <= limit <= 1_000 or offset < 0:
@@ -108,10 +110,10 @@ def customer_page(df: DataFrame, alerts: DataFrame | None = None, *, search: str
         ends = ends.where(_named("account_id", search))
     counts = ends.groupBy("account_id").agg(F.count("*").alias("_busy"))
     order = (F.col("max_risk").desc_nulls_last(), F.col("_busy").desc(), F.col("account_id"))
-    page = (in_risk_band(_with_alerts(counts, alerts), band)
-            .orderBy(*order).offset(offset).limit(limit))
-    kept = [c for c in page.columns if c != "account_id"]
-    rows = legs(df).join(F.broadcast(page), "account_id")
+    shown = page(in_risk_band(_with_alerts(counts, alerts), band), list(order),
+                 limit=limit, offset=offset, total=total)
+    kept = [c for c in shown.columns if c != "account_id"]
+    rows = legs(df).join(F.broadcast(shown), "account_id")
     per_partner = (_sums(rows.groupBy("account_id", *kept, "counterparty", "bank"))
                    .groupBy("account_id", *kept, "counterparty")
                    .agg(F.min("bank").alias("bank"), *[F.sum(c).alias(c) for c in (
@@ -165,12 +167,17 @@ def account_currencies(df: DataFrame) -> DataFrame:
 
 
 def customer_profile(df: DataFrame, account_id: str,
-                     alerts: DataFrame | None = None) -> dict[str, DataFrame]:
-    """Everything about one account, each part a lazy frame over the account's rows."""
+                     alerts: DataFrame | None = None, *, newest: int = 25) -> dict[str, DataFrame]:
+    """Everything about one account, each part a lazy frame over the account's rows.
+
+    With an alert table there is a part ``alerts``, the account's ``newest`` ones in its columns.
+    """
     mine = df.where((F.col("from_account") == account_id) | (F.col("to_account") == account_id))
     own_alerts = None if alerts is None else alerts.where(F.col("entity_id") == account_id)
     this = F.col("account_id") == account_id
-    return {
+    shown = {} if own_alerts is None else {
+        "alerts": page(own_alerts, [F.desc("created_at"), F.col("alert_id")], limit=newest)}
+    return shown | {
         "summary": activity(mine, own_alerts).where(this),
         "payment_formats": payment_mix(mine).where(this)
                            .orderBy(F.desc("txn_count"), "payment_format"),

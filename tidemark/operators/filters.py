@@ -8,6 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.paging import page
 from tidemark.functions.columns import transaction_id
 from tidemark.policy import RowRiskPolicy
 
@@ -111,13 +112,12 @@ def evidence_rows(df: DataFrame, spec: EvidenceFilter) -> DataFrame:
 
 
 def evidence_page(df: DataFrame, spec: EvidenceFilter, *, limit: int = 50,
-                  offset: int = 0) -> DataFrame:
-    """One page, newest first. The total is a count of ``evidence_rows`` (no window)."""
+                  offset: int = 0, total: str | None = None) -> DataFrame:
+    """One page, newest first. ``total`` names a column for the number of rows on all pages."""
     if not 1 <= limit <= 100 or offset < 0:
         raise ValueError("limit must be 1..100 and offset not negative")
-    return (evidence_rows(df, spec)
-            .orderBy(F.col("timestamp").desc_nulls_last(), F.col("transaction_id").asc_nulls_last())
-            .offset(offset).limit(limit))
+    newest = [F.col("timestamp").desc_nulls_last(), F.col("transaction_id").asc_nulls_last()]
+    return page(evidence_rows(df, spec), newest, limit=limit, offset=offset, total=total)
 
 
 def payment_formats(df: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.paging import page
 from tidemark.policy import SLA_HOURS
 
 # --- fixed values: statuses, dispositions and orderings -------------------------------
@@ -149,11 +150,11 @@ def alert_notes(actions: DataFrame) -> DataFrame:
 
 def notes_page(actions: DataFrame, alert: str, *, limit: int | None = None, offset: int = 0) -> DataFrame:
     """One alert's notes in writing order as one text, or a page of them if ``limit`` is given."""
-    page = (alert_notes(actions).where(F.col("alert_id") == alert)
-            .orderBy("seq").offset(offset))
-    page = page if limit is None else page.limit(limit)
+    shown = (alert_notes(actions).where(F.col("alert_id") == alert)
+             .orderBy("seq").offset(offset))
+    shown = shown if limit is None else shown.limit(limit)
     lines = F.array_sort(F.collect_list(F.struct("seq", "line")))
-    return page.groupBy("alert_id").agg(
+    return shown.groupBy("alert_id").agg(
         F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("notes"))
 
 
@@ -232,13 +233,8 @@ def investigation_list(investigations: DataFrame, alerts: DataFrame, *,
 
     ``investigations``: investigation_id, created_at, status, payload (JSON text).
     """
-    def field(path: str) -> Column:
-        return F.get_json_object("payload", path)
-
     counts = alerts.groupBy("investigation_id").agg(F.count("*").alias("alert_count"))
-    rows = (investigations.withColumn("dataset_id", field("$.dataset_id"))
-                          .withColumn("dataset_name", field("$.dataset_name"))
-                          .withColumn("pattern_type", field("$.intent.pattern_type")))
+    rows = _payload_fields(investigations)
     if dataset_id is not None:
         rows = rows.where(F.col("dataset_id") == dataset_id)
     if status is not None:
@@ -250,6 +246,33 @@ def investigation_list(investigations: DataFrame, alerts: DataFrame, *,
                 .orderBy(F.desc("created_at"), "investigation_id").offset(offset).limit(limit))
 
 
+def _payload_fields(investigations: DataFrame) -> DataFrame:
+    paths = {"dataset_id": "$.dataset_id", "dataset_name": "$.dataset_name",
+             "pattern_type": "$.intent.pattern_type"}
+    return investigations.withColumns({name: F.get_json_object("payload", path) for name, path in paths.items()})
+
+
+def investigation_detail(investigations: DataFrame, alerts: DataFrame, investigation_id: str) -> DataFrame:
+    """One investigation with its payload, what its payload and its alerts say, or no row.
+
+    ``disposition`` and the counts come from the alerts as they are now; ``flagged_count`` are the entities
+    that the payload lists (``flagged_entities``), and its alerts where it lists none. Its alerts themselves are
+    the rows of the alert table with its id, as many as there are.
+    """
+    one = F.col("investigation_id") == investigation_id
+    own = alerts.where(one)
+    facts = investigation_rollup(own).select("investigation_id", "disposition").join(
+        own.groupBy("investigation_id").agg(
+            F.count("*").alias("alert_count"), F.count_if(F.col("risk_label") == "high").alias("high_risk_count"),
+            F.count_if(F.col("status") != "closed").alias("open_alert_count")), "investigation_id")
+    listed = F.json_array_length(F.get_json_object("payload", "$.flagged_entities")).cast("long")
+    rows = _payload_fields(investigations.where(one).drop("disposition")).join(facts, "investigation_id", "left")
+    counts = {c: F.coalesce(c, F.lit(0)) for c in ("alert_count", "high_risk_count", "open_alert_count")}
+    return rows.withColumns(counts | {
+        "disposition": F.coalesce("disposition", F.lit("pending")),
+        "flagged_count": F.coalesce(listed, "alert_count", F.lit(0))})
+
+
 def status_summary(investigations: DataFrame, alerts: DataFrame) -> DataFrame:
     """Investigations per status with their alerts and high-risk entities, in one row."""
     per = alerts.groupBy("investigation_id").agg(
@@ -275,10 +298,10 @@ def workload(registry: DataFrame, alerts: DataFrame) -> DataFrame:
 
 
 def audit_page(events: DataFrame, *, event_type: str | None = None, alert: str | None = None,
-               limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest events first; the total is a count of the filtered events."""
-    return (filter_events(events, event_type, alert)
-            .orderBy(F.desc("created_at"), F.desc("event_id")).offset(offset).limit(limit))
+               limit: int = 50, offset: int = 0, total: str | None = None) -> DataFrame:
+    """Newest events first. ``total`` names a column for the number of events on all pages."""
+    return page(filter_events(events, event_type, alert), [F.desc("created_at"), F.desc("event_id")],
+                limit=limit, offset=offset, total=total)
 
 
 def filter_events(events: DataFrame, event_type: str | None = None,

@@ -126,6 +126,15 @@ def txn_browser_page(spark, sf):
         "transaction_id", "timestamp", "from_account", "to_account", "amount_paid")
 
 
+@query("txn_browser_total", O.with_(views.TXN_CTE) + f"""SELECT transaction_id, amount_paid, total FROM (
+  SELECT {_TXN_ID} AS transaction_id, timestamp, amount_paid, count(*) OVER () AS total FROM txn
+  WHERE to_account = 'A7') q ORDER BY timestamp DESC, 1 LIMIT 5 OFFSET 5""")
+def txn_browser_total(spark, sf):
+    spec = filters.EvidenceFilter(account_id="A7", direction="in")
+    return filters.evidence_page(views.txn(spark, sf), spec, limit=5, offset=5, total="total").select(
+        "transaction_id", "amount_paid", "total")
+
+
 @query("transaction_ids", O.with_(views.TXN_CTE) + f"SELECT event_id, {_TXN_ID} AS transaction_id FROM txn")
 def transaction_ids(spark, sf):
     return views.txn(spark, sf).select("event_id", C.transaction_id().alias("transaction_id"))
@@ -180,6 +189,23 @@ def customer_page(spark, sf):
         *_act(), "alert_count", r("max_risk"), "open_alert_count")
 
 
+@query("customer_page_total", O.with_(*_CUST) + """SELECT account_id, alert_count, round(max_risk, 6) AS max_risk,
+  outbound_count, total_sent, total FROM (SELECT *, count(*) OVER () AS total FROM cust
+    WHERE account_id ILIKE '%a1%' AND max_risk >= 0.70) q
+  ORDER BY q.max_risk DESC, outbound_count + inbound_count DESC, account_id LIMIT 10 OFFSET 2""")
+def customer_page_total(spark, sf):
+    return customers.customer_page(views.txn(spark, sf), queue(spark, sf), search="A1", band="high", limit=10,
+                                   offset=2, total="total").select(
+        "account_id", "alert_count", r("max_risk"), "outbound_count", r("total_sent", 4), "total")
+
+
+@query("customer_profile_alerts", O.with_(*O.QUEUE) + """SELECT alert_id, risk_label, status, created_at FROM folded
+  WHERE entity_id = 'A7' ORDER BY created_at DESC, alert_id LIMIT 25""")
+def customer_profile_alerts(spark, sf):
+    return customers.customer_profile(views.txn(spark, sf), "A7", queue(spark, sf))["alerts"].select(
+        "alert_id", "risk_label", "status", "created_at")
+
+
 @query("ledger_customers", O.with_(views.LEDGER_CTE, _ACTIVITY.format(source="ledger"))
        + "SELECT * FROM activity")
 def ledger_customers(spark, sf):
@@ -827,6 +853,14 @@ def alert_notes(spark, sf):
     return workflow.alert_notes(actions(spark, sf))
 
 
+@query("alert_notes_text", O.with_(O.ACTIONS) + """SELECT alert_id, string_agg('[' || strftime(acted, '%Y-%m-%dT%H:%M:%S')
+  || '] ' || actor || ': ' || value, chr(10) ORDER BY seq) AS notes FROM actions WHERE action = 'note'
+  AND alert_id = (SELECT min(alert_id) FROM actions WHERE action = 'note') GROUP BY alert_id""")
+def alert_notes_text(spark, sf):
+    log = actions(spark, sf)
+    return workflow.notes_page(log, log.where("action = 'note'").agg(F.min("alert_id")).first()[0])
+
+
 _AGE = f"""round(greatest(0, date_diff('second', created_at, TIMESTAMP '{AS_OF}')) / 3600.0::DOUBLE, 6)"""
 
 
@@ -907,6 +941,19 @@ def investigation_list(spark, sf):
         pattern="structuring").drop("payload")
 
 
+@query("investigation_detail", O.with_(*O.QUEUE, _ROLLUP) + """SELECT investigation_id, created_at, status, disposition,
+  'ds_odd' AS dataset_id, 'Odd set' AS dataset_name, 'Structuring' AS pattern_type, alert_count,
+  alert_count AS flagged_count, high_risk_count, open_alert_count FROM rolled
+  JOIN (SELECT 'INV-' || CAST(CAST(substr(from_account, 2) AS BIGINT) % 7 AS VARCHAR) AS investigation_id,
+    min(timestamp) AS created_at FROM txn GROUP BY 1) f USING (investigation_id)
+  JOIN (SELECT investigation_id, count(*) FILTER (WHERE risk_label = 'high') AS high_risk_count,
+    count(*) FILTER (WHERE status <> 'closed') AS open_alert_count FROM folded GROUP BY 1) h USING (investigation_id)
+  WHERE investigation_id = 'INV-3'""")
+def investigation_detail(spark, sf):
+    queued = shared(queue(spark, sf))
+    return workflow.investigation_detail(investigations(spark, sf, queued), queued, "INV-3").drop("payload")
+
+
 @query("investigation_status", O.with_(*O.QUEUE, _ROLLUP) + """SELECT count(*) AS total,
   count(*) FILTER (WHERE status = 'in_review') AS in_review, count(*) FILTER (WHERE status = 'escalated') AS escalated,
   count(*) FILTER (WHERE status = 'closed') AS closed,
