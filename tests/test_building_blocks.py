@@ -118,3 +118,40 @@ def test_widest_overlaps_equal_brute_force(spark, monkeypatch, k, block):
     if k == 1:
         found, bound = overlap.candidates(one, None, k)
         assert found.count() < 30 * 29 / 20 and found.agg(F.min("shared")).first()[0] >= bound > 1
+
+
+def test_overlap_totals_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 7)
+    sets, other = random_sets(5, .8), random_sets(6, .8)
+    one, two = (spark.createDataFrame([(s, t) for s, ts in x.items() for t in ts], "set_id string, token string") for x in (sets, other))
+    want = {}
+    for a, b in combinations(sorted(sets), 2):
+        n = len(sets[a] & sets[b])
+        for s in (a, b) if n >= 2 else ():
+            pairs, _, total, widest = want.get(s, (0, 0, 0, 0))
+            want[s] = pairs + 1, 0, total + n, max(widest, n)
+    assert {r[0]: tuple(r[1:]) for r in overlap.overlap_totals(one, None, 2).collect()} == want
+    want = {}
+    for a in sets:
+        for b in other:
+            n = len(sets[a] & other[b])
+            for s, is_a in ((a, 1), (b, 0)) if a != b and n >= 2 else ():
+                as_a, as_b, total, widest = want.get(s, (0, 0, 0, 0))
+                want[s] = as_a + is_a, as_b + 1 - is_a, total + n, max(widest, n)
+    assert {r[0]: tuple(r[1:]) for r in overlap.overlap_totals(one, two, 2).collect()} == want
+
+
+@pytest.mark.parametrize("cells, dense", [(4_000_000, 512), (7, 2), (50, 0)])
+def test_products_of_blocks_equal_the_plain_product(monkeypatch, cells, dense):
+    import numpy as np
+    from tidemark.functions import blocks
+    monkeypatch.setattr(blocks, "CELLS", cells)
+    monkeypatch.setattr(blocks, "DENSE", dense)
+    rng = np.random.default_rng(3)
+    full = [np.where(rng.random((n, 40)) < .3, rng.integers(1, 9, (n, 40)), 0).astype(float) for n in (23, 31)]
+    full[0][:, :5], full[1][:, 5:8] = 0, 0
+    sides = [blocks.Entries(len(x), *np.nonzero(x), x[np.nonzero(x)]) for x in full]
+    got = np.concatenate([piece for _, piece in blocks.products(*sides, np.float64)])
+    assert (got == full[0] @ full[1].T).all()
+    none = blocks.Entries(2, np.zeros(0, int), np.zeros(0, int))
+    assert not np.concatenate([piece for _, piece in blocks.products(sides[0], none)]).any()

@@ -112,3 +112,23 @@ def test_cycles_equal_brute_force(spark, seed):
     assert all(r.transaction_count == r.cycle_count * r.length and r.total_amount == 100.0 * r.transaction_count
                for r in per.values())
     assert {len(g) for g in (tuple(r.accounts) for r in graph.cycles(edges, 2).collect())} <= {2}
+
+
+def test_pair_queries_list_every_pair(spark, tmp_path):
+    """Whole pairs and their counts per account, on shared targets of 3 payers and two-hop ways through 3 others."""
+    import duckdb
+    import __spark_entry__ as contract
+    from datetime import datetime, timedelta
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), a, "view", 5.0, '{"k": %d}' % b)
+            for i, (a, b) in enumerate(each([1, 2, 3], [11, 12, 13]) + each([11, 12, 13], [1, 20]) + [(1, 11), (4, 11)])]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+         .write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    for name, columns in (("graph_bipartite", ["source_a", "source_b", "destination_count", "edge_count"]),
+                          ("graph_scatter_gather", ["source", "destination", "path_count"]),
+                          ("graph_bipartite_accounts", ["account", "pair_count", "edge_count", "widest"]),
+                          ("graph_scatter_gather_accounts", ["account", "as_source", "as_destination", "path_count", "widest"])):
+        got = contract.queries()[name](spark, str(tmp_path)).select(columns).collect()
+        want = con.execute(f"select {', '.join(columns)} from ({contract.oracle_sql()[name]})").fetchall()
+        assert want and sorted(map(tuple, got)) == sorted(want), name
