@@ -132,3 +132,13 @@ def test_pair_queries_list_every_pair(spark, tmp_path):
         got = contract.queries()[name](spark, str(tmp_path)).select(columns).collect()
         want = con.execute(f"select {', '.join(columns)} from ({contract.oracle_sql()[name]})").fetchall()
         assert want and sorted(map(tuple, got)) == sorted(want), name
+
+
+def test_cycles_leave_dead_ends_out(spark):
+    """Payers nobody pays, and payees that pay nobody, are on no cycle: no way is built through them."""
+    dead = each(named("payer", 20), ["x", "y"]) + each(["x", "y"], named("payee", 20)) + [("first", "payer0"), ("payee0", "last")]
+    edges = graph.build_edges(frame(spark, ring(["x", "y", "z"]) + dead + [("x", "z"), ("z", "y"), ("y", "x")]))
+    ways = graph.square_paths(edges).collect()
+    assert ways and {a for r in ways for a in (r.top, r.opposite, r.middle)} == {"x", "y", "z"}
+    assert {(r.account, r.length): r.cycle_count for r in graph.cycle_accounts(edges).collect()} == {
+        (a, n): c for a in "xyz" for n, c in ((2, 2), (3, 2))}
