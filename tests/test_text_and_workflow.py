@@ -285,3 +285,56 @@ def test_investigation_detail(spark):
     assert detail("I2") == [(None, "pending", 0, 0, 0, 0)]
     assert detail("I3") == [(None, "pending", 1, 1, 0, 0)]
     assert detail("none") == []
+
+
+@pytest.mark.parametrize("vocabulary", [0, 1_000])
+def test_search_in_blocks_equals_its_formulas(spark, monkeypatch, vocabulary):
+    """Several blocks of documents and queries, a document and a query that come twice, ties."""
+    import random
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 5)
+    monkeypatch.setattr(retrieval, "QUERIES", 2)
+    monkeypatch.setattr(retrieval, "VOCABULARY", vocabulary)
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    docs = [(i, " ".join(rng.choices(words, k=rng.randrange(0, 9))), [rng.choice(["fr", "de"])]) for i in range(24)]
+    docs += [docs[3], (99, "", None)]
+    asked = [(i, " ".join(rng.choices(words, k=4)), rng.choice(["FR", "de", None])) for i in range(7)] + [(50, "zebra", None)]
+    asked += [asked[2]]
+    d = spark.createDataFrame(docs, "doc_id long, text string, typologies array<string>")
+    q = spark.createDataFrame(asked, "query_id long, text string, typology string")
+
+    body = [(i, set(toks(f"{' '.join(tags or [])} {text}")), tags or []) for i, text, tags in docs]
+    df = Counter(t for _, ts, _ in body for t in ts)
+    want = {}
+    for i, text, kind in asked:
+        own = set(toks(f"{text} {kind or ''}"))
+        times = sum(a[0] == i for a in asked) ** 2
+        for doc in {x[0] for x in body}:
+            same = [x for x in body if x[0] == doc]
+            raw = times * sum(math.log((len(docs) + 1) / (df[t] + 1)) + 1 for _, ts, _ in same for t in own & ts)
+            raw += 2.5 * any(kind and kind.lower() in tags for _, _, tags in same)
+            if raw > 0:
+                want.setdefault(i, []).append((-round(min(1.0, raw / (len(own) + 2.5)), 6), doc))
+    got = {}
+    for r in retrieval.idf_search(d, q, 2).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    assert got == {i: sorted(rows)[:2] for i, rows in want.items()}
+
+    n, average = len(docs), sum(len(toks(x[1])) for x in docs) / len(docs)
+    df = Counter(t for x in docs for t in set(toks(x[1])))
+    idf = {t: math.log(n - f + .5) - math.log(f + .5) for t, f in df.items()}
+    low = .25 * sum(idf.values()) / len(idf)
+    want = {}
+    for i in {x[0] for x in asked}:
+        query = [t for x in asked if x[0] == i for t in toks(x[1])]
+        for doc in {x[0] for x in docs}:
+            same = [toks(x[1]) for x in docs if x[0] == doc]
+            tf, size = Counter(t for ts in same for t in ts), len(same[0])
+            score = sum((low if idf[t] < 0 else idf[t]) * tf[t] * 2.5 / (tf[t] + 1.5 * (.25 + .75 * size / average))
+                        for t in query if t in tf)
+            if score > 0:
+                want.setdefault(i, []).append((-round(score, 4), doc))
+    got = {}
+    for r in retrieval.bm25_search(d, q.drop("typology"), 3).orderBy("query_id", "position").collect():
+        got.setdefault(r.query_id, []).append((-r.score, r.doc_id))
+    assert got == {i: sorted(rows)[:3] for i, rows in want.items()}

@@ -1,17 +1,31 @@
 """Ranking reference documents for a batch of queries.
 
 Documents and queries are both tables. Only tokens that some query asks for leave the
-document scan, already counted per document, so the shuffle carries postings of the query
-vocabulary rather than text. No side is force-broadcast: Spark measures the query side.
+document scan, as numbers, so the shuffle carries postings of the query vocabulary rather
+than text. Blocks of queries and blocks of documents meet in groups, which score all their pairs
+(``blocks.products``) and pass on the best of each query: no row per query and document is shuffled.
+The query vocabulary is broadcast up to ``VOCABULARY`` tokens and joined by a shuffle beyond.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.blocks import PARTITIONS, Entries, numbered, products
+from tidemark.functions.stored import stored
 from tidemark.functions.text import paragraphs, tokens
 
+#: Documents and queries of a block.
+DOCUMENTS, QUERIES = 2_000, 4_000
+#: Distinct tokens of all queries that are broadcast at most.
+VOCABULARY = 200_000
+
 
 def split_paragraphs(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.posexplode(paragraphs(F.col("text"))).alias("pos", "paragraph"))
@@ -29,7 +43,7 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 3, *, k1: float =
     if not n:
         return docs.sparkSession.createDataFrame(
             [], "query_id long, doc_id long, score double, position int")
-    vocabulary = (parsed.select(F.explode(F.array_distinct("toks")).alias("token"))
+    vocabulary = stored(parsed.select(F.explode(F.array_distinct("toks")).alias("token"))
                         .groupBy("token").agg(F.count("*").alias("df")))
     raw = F.ln(F.lit(n) - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     mean_idf = vocabulary.agg(F.avg(raw)).first()[0] or 0.0
@@ -37,18 +51,18 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 3, *, k1: float =
 
     asked = (queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token"))
                     .groupBy("query_id", "token").agg(F.count("*").alias("qtf")))
-    hits = (parsed.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("token"))
-                  .join(asked.select("token").distinct(), "token", "left_semi")
-                  .groupBy("doc_id", "len", "token").agg(F.count("*").alias("tf")))
-    weights = (asked.join(vocabulary, "token")
-                    .select("query_id", "token", (F.col("qtf") * idf).alias("w")))
-    tf = F.col("tf")
-    norm = tf + k1 * (1 - b + b * F.col("len") / F.lit(mean_len))
-    scored = (hits.join(weights, "token")
-                  .groupBy("query_id", "doc_id")
-                  .agg(F.sum(F.col("w") * tf * (k1 + 1) / norm).alias("score"))
-                  .where(F.col("score") > 0)
-                  .withColumn("score", F.round("score", 4)))
+    codes = _codes(asked)
+    hits = parsed.select("doc_id", F.size("toks").alias("len"), F.explode("toks").alias("token"))
+    weights = (asked.join(vocabulary, "token").join(codes, "token")
+                    .select("query_id", F.lit(1.0).alias("size"), "code", (F.col("qtf") * idf).alias("w")))
+
+    def saturated(rows: np.ndarray, lens: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, ...]:
+        (rows, lens, found), tf = np.unique(np.stack([rows, lens, found]), axis=1, return_counts=True)
+        return rows, found, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / mean_len))
+
+    scored = (_scored(_looked_up(hits, codes), weights, n, k, 4, weigh=saturated)
+              .where(F.col("raw") > 0)
+              .select("query_id", "doc_id", F.round("raw", 4).alias("score")))
     return _best(scored, k)
 
 
@@ -72,35 +86,106 @@ def idf_search(docs: DataFrame, queries: DataFrame, k: int = 2, *,
     parts = ["title"] if "title" in docs.columns else []
     body = F.concat_ws(" ", *parts, *([F.array_join("typologies", " ")] if tagged else []), "text")
     tags = F.col("typologies") if tagged else F.array().cast("array<string>")
-    hits = (docs.select("doc_id", tags.alias("tags"),
-                        F.explode(F.array_distinct(tokens(body))).alias("token"))
-                .join(asked.select("token").distinct(), "token", "left_semi"))
-    known = hits.groupBy("token").agg(F.count("*").alias("df"))
+    codes = _codes(asked)
+    hits = _looked_up(docs.select("doc_id", F.lit(0).alias("len"),
+                                  F.explode(F.array_distinct(tokens(body))).alias("token")), codes)
+    known = hits.groupBy("code").agg(F.count("*").alias("df")).join(codes, "code")
+    sizes = q.select("query_id", (F.size("toks") + F.lit(typology_bonus)).alias("size"))
     weights = (asked.join(known, "token").join(q.select("query_id", "typology"), "query_id")
-                    .select("query_id", "typology", "token",
-                            (F.ln(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("w")))
-    matches = F.coalesce(F.array_contains("tags", F.col("typology")), F.lit(False))
-    raw = (hits.join(weights, "token").groupBy("query_id", "doc_id")
-               .agg((F.sum("w") + F.when(F.bool_or(matches), typology_bonus).otherwise(0.0))
-                    .alias("raw")))
+                    .groupBy("query_id", "code").agg(F.sum(F.ln(F.lit(n + 1) / (F.col("df") + 1)) + 1).alias("w"))
+                    .join(sizes.distinct(), "query_id").select("query_id", "size", "code", "w"))
     if tagged:
-        # Documents with the right typology but no shared token all score the bonus alone and
-        # rank by id, so only the first k of a typology can be among a query's best k.
-        each = docs.select("doc_id", F.explode(F.array_distinct("typologies")).alias("typology"))
-        rank = Window.partitionBy("typology").orderBy("doc_id")
-        first = each.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= k)
-        raw = (raw.unionByName(
-                   first.join(q.where(F.size("toks") > 0).select("query_id", "typology"), "typology")
-                        .select("query_id", "doc_id", F.lit(typology_bonus).alias("raw")))
-                  .groupBy("query_id", "doc_id").agg(F.max("raw").alias("raw")))
-    scored = (raw.join(q.select("query_id", F.size("toks").alias("n_tokens")), "query_id")
-                 .where(F.col("raw") > 0)
-                 .select("query_id", "doc_id", F.round(F.least(
-                     F.lit(1.0), F.col("raw") / (F.col("n_tokens") + typology_bonus)), 6)
-                     .alias("score")))
+        # A typology is a code of its own, below zero: one that matches adds the bonus once.
+        wanted = (q.where(F.size("toks") > 0).select("query_id", F.col("typology").alias("token"))
+                   .where(F.col("token").isNotNull()).distinct())
+        kinds = _codes(wanted).select("token", (-1 - F.col("code")).alias("code"))
+        each = docs.select("doc_id", F.lit(0).alias("len"), F.explode(F.array_distinct(tags)).alias("token"))
+        hits = hits.unionByName(_looked_up(each, kinds))
+        weights = weights.unionByName(wanted.join(kinds, "token").join(sizes.distinct(), "query_id")
+                                      .select("query_id", "size", "code", F.lit(1.0).alias("w")))
+    scored = (_scored(hits, weights, n, k, 6, bonus=typology_bonus, most=1.0)
+              .join(sizes, ["query_id", "size"])
+              .where(F.col("raw") > 0)
+              .select("query_id", "doc_id", F.round(F.least(
+                  F.lit(1.0), F.col("raw") / F.col("size")), 6).alias("score")))
     return _best(scored, k)
 
 
+def _codes(asked: DataFrame) -> DataFrame:
+    """A number for each token that is asked for."""
+    return asked.select("token").distinct().withColumn("code", numbered("token"))
+
+
+def _looked_up(found: DataFrame, codes: DataFrame) -> DataFrame:
+    """Numbers of the tokens of documents that are asked for."""
+    codes = F.broadcast(codes) if codes.count() <= VOCABULARY else codes
+    return found.join(codes, "token").select("doc_id", "len", "code")
+
+
+def _scored(hits: DataFrame, weights: DataFrame, documents: int, k: int, digits: int, *, bonus: float = 0.0,
+            most: float = float("inf"), weigh: Callable[..., tuple[np.ndarray, ...]] | None = None) -> DataFrame:
+    """``(query_id, size, doc_id, raw)`` of the best k documents of a query in each block of documents.
+
+    ``hits``: doc_id, len, code; ``weights``: query_id, size, code, w. ``raw`` sums the weights of common codes, and
+    ``bonus`` where one below zero is common; documents rank by the rounded raw / size, ``most`` at the most.
+    """
+    spark = hits.sparkSession
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    doc_blocks = max(1, -(-documents // DOCUMENTS))
+    asking = weights.agg(F.approx_count_distinct("query_id")).first()[0]
+    query_blocks = max(1, -(-asking // QUERIES))
+
+    def sent(df: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        placed = df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        placed = placed.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1))))
+        # New names for all columns: both sides come from the same table of codes.
+        return (placed.toDF(*placed.columns)
+                .repartition(min(max(tasks, doc_blocks * query_blocks), PARTITIONS), "i", "j").groupBy("i", "j"))
+
+    def score(asked: pa.Table, found: pa.Table) -> pa.Table:
+        if not (asked.num_rows and found.num_rows):
+            return empty
+        pairs, query_rows = np.unique(np.stack([_rows(asked["query_id"])[1], asked["size"].to_numpy()]), axis=1, return_inverse=True)
+        ids, doc_rows = _rows(found["doc_id"])
+        codes, counted = found["code"].to_numpy(), None
+        if weigh is not None:
+            doc_rows, codes, counted = weigh(doc_rows, found["len"].to_numpy().astype(np.int64), codes)
+        queries = Entries(pairs.shape[1], query_rows.reshape(-1), asked["code"].to_numpy(), asked["w"].to_numpy())
+        documents = Entries(len(ids), doc_rows, codes, counted)
+        plain = (side.only(side.codes >= 0, side.codes) for side in (queries, documents))
+        tags = (side.only(side.codes < 0, side.codes) for side in (queries, documents))
+        best = []
+        for (first, raw), (_, tagged) in zip(products(*plain, np.float64), products(*tags, np.float32)):
+            raw += bonus * (tagged > 0)
+            size = pairs[1, first:first + len(raw), None]
+            rank = np.where(raw > 0, np.floor(np.minimum(raw / size, most) * 10 ** digits + .5), -1)
+            for _ in range(min(k, len(ids))):
+                doc = rank.argmax(1)
+                row = np.flatnonzero(rank[np.arange(len(doc)), doc] >= 0)
+                doc = doc[row]
+                best.append((row + first, doc, raw[row, doc]))
+                rank[row, doc] = -1
+        row, doc, raw = (np.concatenate(v) for v in zip(*best))
+        names = _rows(asked["query_id"])[0]
+        return pa.table({"query_id": names.take(pa.array(pairs[0, row].astype(np.int64))), "size": pairs[1, row],
+                         "doc_id": ids.take(pa.array(doc)), "raw": raw}).cast(empty.schema)
+
+    kind = {"query_id": weights.schema["query_id"].dataType, "doc_id": hits.schema["doc_id"].dataType}
+    schema = ", ".join(f"{c} {kind[c].simpleString() if c in kind else 'double'}" for c in ("query_id", "size", "doc_id", "raw"))
+    empty = spark.createDataFrame([], schema).toArrow()
+    return (sent(weights.withColumn("size", F.col("size").cast("double")), "query_id", "i", query_blocks, "j", doc_blocks)
+            .cogroup(sent(hits, "doc_id", "j", doc_blocks, "i", query_blocks)).applyInArrow(score, schema))
+
+
+def _rows(ids: pa.ChunkedArray) -> tuple[pa.Array, np.ndarray]:
+    """Distinct ids in order, null first, and which of them each row has."""
+    coded = pa.chunked_array(ids.chunks, ids.type).combine_chunks().dictionary_encode(null_encoding="encode")
+    order = pc.array_sort_indices(coded.dictionary, null_placement="at_start").to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return coded.dictionary.take(pa.array(order)), place[coded.indices.to_numpy()]
+
+
 def _best(scored: DataFrame, k: int) -> DataFrame:
     rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return (scored.withColumn("position", F.row_number().over(rank))
