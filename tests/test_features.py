@@ -129,3 +129,16 @@ def test_single_features_equal_all(spark, name):
     every = by_id(features.add_features(df, features.DERIVED, row_key="txn_id"))
     for key, row in every.items():
         assert one[key][name] == pytest.approx(row[name], abs=1e-6), (key, name)
+
+
+def test_scores_read_features_once_and_share_exchanges(spark, tmp_path):
+    """Account statistics come from the input, not from a second run of the features; points and pairs are shuffled once."""
+    from datetime import datetime, timedelta
+    from tidemark.plans import catalogue
+    rows = [(i, datetime(2024, 1, 1) + timedelta(hours=7 * i), i % 5, "click", 10.0 + i, '{"k": %d}' % (i % 3)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string") \
+         .write.parquet(str(tmp_path / "events.parquet"))
+    df = catalogue.full_scored(spark, str(tmp_path)).select("event_id", "risk_score")
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
+    assert len(df.collect()) == 60
+    assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 3

@@ -62,3 +62,11 @@ def test_missing_and_infinite_features_count_as_zero(spark, fitted):
     zero = rows(spark, [[0] * 6])
     a, b = (forest.score_forest(d, fitted).first().ml_score for d in (odd, zero))
     assert a == b
+
+
+def test_baseline_is_scored_once(spark, monkeypatch):
+    kept = []
+    monkeypatch.setattr(forest, "stored", lambda df: kept.append(df.columns) or df)
+    rows = spark.range(300).selectExpr("id", *(f"cast(id % {n + 2} as double) as {c}" for n, c in enumerate(forest.MODEL_FEATURES)))
+    forest.fit_forest(rows, trees=3, sample=32, row_key="id")
+    assert kept == [["_raw"]]

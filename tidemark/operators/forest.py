@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.columns import number
 from tidemark.functions.quantiles import exact_quantiles
 from tidemark.functions.sampling import bottom_k, hash_key
+from tidemark.functions.stored import stored
 from tidemark.policy import MODEL_FEATURES
 
 NODE_SCHEMA = ("tree int, node int, feature int, split double, low int, high int, "
@@ -133,7 +134,7 @@ def fit_forest(baseline: DataFrame, *, trees: int = 200, sample: int = 256, seed
     forest = Forest(tuple(features), table("feature", -1, np.int32), table("split", 0, float),
                     table("low", 0, np.int32), table("high", 0, np.int32),
                     table("path", 0, float), float(_mean_depth(size)))
-    scored = raw_scores(baseline, forest).select("_raw")
+    scored = stored(raw_scores(baseline, forest).select("_raw"))  # the quantiles scan it twice
     low, limit, high = exact_quantiles(scored, ["_raw"], [0.0, 1 - contamination, 1.0])["_raw"]
     return Forest(**{**forest.__dict__, "raw_min": low, "raw_max": high, "outlier_from": limit})
 

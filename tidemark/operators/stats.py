@@ -21,17 +21,18 @@ def iqr_bounds(normals: DataFrame, amount: str = "amount",
     return q1, q3, q1 - reach, q3 + reach
 
 
-def add_statistics(df: DataFrame, bounds: tuple[float, float]) -> DataFrame:
+def add_statistics(df: DataFrame, bounds: tuple[float, float], rows: DataFrame | None = None) -> DataFrame:
     """Add ``z_score`` (population deviation within the account), ``iqr_flag``, ``stat_score``.
 
-    Account means come from a partial aggregation and are joined back, so a large account
+    ``rows``: the same accounts and amounts from a cheaper frame, such as the input of the feature step; without
+    it ``df`` is computed twice. Account means come from a partial aggregation and are joined back, so a large account
     is a skewed join side that adaptive execution can split, not one window task.
     """
     if "amount_paid" not in df.columns and "amount" in df.columns:
         df = df.withColumnRenamed("amount", "amount_paid")
     require_columns(df.columns, ["from_account", "amount_paid"], "statistics")
     value = F.col("amount_paid").try_cast("double")
-    spread = df.groupBy("from_account").agg(
+    spread = (df if rows is None else rows).groupBy("from_account").agg(
         F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"))
     named = spread.withColumnRenamed("from_account", "_acct")
     lower, upper = bounds

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from tidemark.functions.stored import stored as shared
 from tidemark.operators import aggregate, drift, evidence, filters, graph, profile, rules, stats
-from tidemark.operators.features import features_for
+from tidemark.operators.features import canonical_input, features_for
 from tidemark.operators.filters import TransactionFilter
 from tidemark.operators.forest import Forest, score_forest
 from tidemark.operators.risk import recommend, score_risk
@@ -66,7 +66,7 @@ def score_transactions(df: DataFrame, spec: InvestigationSpec) -> DataFrame:
                           row_key=spec.row_key)
     if "rule_engine" in steps:
         scored = rules.apply_rules(scored, patterns)
-    scored = stats.add_statistics(scored, spec.iqr)
+    scored = stats.add_statistics(scored, spec.iqr, canonical_input(rows))
     if "ml_engine" in steps:
         scored = score_forest(scored, spec.forest)
     return recommend(score_risk(scored, steps))
