@@ -57,8 +57,12 @@ def bm25_search(docs: DataFrame, queries: DataFrame, k: int = 3, *, k1: float =
                     .select("query_id", F.lit(1.0).alias("size"), "code", (F.col("qtf") * idf).alias("w")))
 
     def saturated(rows: np.ndarray, lens: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, ...]:
-        (rows, lens, found), tf = np.unique(np.stack([rows, lens, found]), axis=1, return_counts=True)
-        return rows, found, tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / mean_len))
+        codes, found = np.unique(found, return_inverse=True)
+        longest = lens.max() + 1
+        keys, tf = np.unique((rows * longest + lens) * len(codes) + found, return_counts=True)
+        place, found = np.divmod(keys, len(codes))
+        rows, lens = np.divmod(place, longest)
+        return rows, codes[found], tf * (k1 + 1) / (tf + k1 * (1 - b + b * lens / mean_len))
 
     scored = (_scored(_looked_up(hits, codes), weights, n, k, 4, weigh=saturated)
               .where(F.col("raw") > 0)
