@@ -142,3 +142,21 @@ def test_scores_read_features_once_and_share_exchanges(spark, tmp_path):
     assert df._jdf.queryExecution().optimizedPlan().toString().count("Join LeftOuter") == 3
     assert len(df.collect()) == 60
     assert df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("ReusedExchange") >= 3
+
+
+@pytest.mark.parametrize("name", ["every account cut", "busy accounts cut", "none cut"])
+def test_accounts_of_few_rows_need_no_blocks(spark, name):
+    """Same values whichever accounts are cut into blocks; whole ones ask for one exchange, not for several rows per point."""
+    from tidemark.policy import FeaturePolicy
+    policy = {"every account cut": FeaturePolicy(whole_rows=0), "busy accounts cut": FeaturePolicy(whole_rows=60, whole_share=1.0),
+              "none cut": FeaturePolicy(whole_rows=10_000, whole_share=1.0)}[name]
+    rows = random_rows(4)
+    df = spark.createDataFrame(rows, "txn_id int, timestamp timestamp, from_account string, "
+                                     "to_account string, amount_paid double")
+    out = features.add_features(df, features.DERIVED, row_key="txn_id", policy=policy)
+    got = by_id(out)
+    for key, want in expected(rows).items():
+        for feature, value in want.items():
+            assert got[key][feature] == pytest.approx(value, abs=1e-6), (key, feature)
+    if name == "none cut":
+        assert "_tail_" not in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
