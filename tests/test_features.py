@@ -160,3 +160,23 @@ def test_accounts_of_few_rows_need_no_blocks(spark, name):
             assert got[key][feature] == pytest.approx(value, abs=1e-6), (key, feature)
     if name == "none cut":
         assert "_tail_" not in out._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_a_side_reads_only_its_own_ends(spark):
+    """Rows are doubled only where a payer's incoming amounts are asked for; payers' rows are no work for the payees' side."""
+    rows = random_rows(5, 120)
+    df = spark.createDataFrame(rows, "txn_id int, timestamp timestamp, from_account string, "
+                                     "to_account string, amount_paid double")
+
+    def doubled(wanted):
+        out = features.add_features(df, wanted, row_key="txn_id")
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        return out, sum("Generate" in line and "_pays" in line and "true" in line for line in plan.splitlines())
+
+    out, n = doubled(["txn_count_7d", "fan_in_sum_48h", "fan_in_count"])
+    assert n == 0
+    want = expected(rows)
+    for row in out.collect():
+        for name in ("txn_count_7d", "fan_in_sum_48h", "fan_in_count"):
+            assert row[name] == pytest.approx(want[row.txn_id][name], abs=1e-6), (row.txn_id, name)
+    assert doubled(["recent_inflow_24h", "fan_in_sum_48h"])[1] > 0
