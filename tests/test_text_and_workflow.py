@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.text import all_numbers_known, numbers, paragraphs
 from tidemark.operators import evidence, features, retrieval, risk, rules, stats, workflow
+from tidemark.plans import catalogue
 from tidemark.plans.investigate import InvestigationSpec, investigate
 
 DOCS = [("g-split", "Splitting deposits", "https://example.org/split", ["structuring"],
@@ -270,6 +271,17 @@ def test_shared_frames_are_checkpointed_where_the_cluster_says_so(spark):
     assert df.agg(F.sum("x")).first()[0] == 90
 
 
+def test_investigation_filters_read_the_payload_of_investigations(spark, tmp_path):
+    rows = [(i, T0 + timedelta(hours=i), 1 if i % 2 else 2, "view", 10_000.0 if i == 9 else 10.0, '{"k": 50}')
+            for i in range(1, 20)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, "
+                                "props string").write.parquet(str(tmp_path / "events.parquet"))
+    found = catalogue.QUERIES["investigation_list"](spark, str(tmp_path))
+    assert "StructsToJson" not in found._jdf.queryExecution().optimizedPlan().toString()  # else run for every transfer
+    assert [(r.investigation_id, r.alert_count, r.created_at) for r in found.collect()] == [
+        ("INV-1", 1, T0 + timedelta(hours=1))]
+
+
 def test_investigation_detail(spark):
     rows = [("I1", datetime(2024, 1, 1), "in_review", '{"dataset_id":"d","flagged_entities":[{"a":1},{"a":2},{"a":3}]}'),
             ("I2", datetime(2024, 1, 2), "closed", None), ("I3", None, None, "not json")]
