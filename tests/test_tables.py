@@ -125,6 +125,10 @@ def test_profile_alerts_and_totals(spark, small_bank):
     assert customers.customer_profile(small_bank, "nobody", alerts)["alerts"].isEmpty()
     rows = customers.customer_page(small_bank, alerts, limit=1, offset=1, total="of").collect()
     assert len(rows) == 1 and rows[0].of == customers.customer_page(small_bank, alerts).count()
+    told, seen = spark.sparkContext.accumulator(0), F.udf(lambda risk: told.add(1) or risk, "double")
+    watched = alerts.withColumn("risk_score", seen("risk_score"))
+    rows = customers.customer_page(small_bank, watched, band="medium", limit=1, total="of").collect()
+    assert [r.of for r in rows] == [2] and told.value == 6  # the alerts are read once
     found = filters.evidence_page(small_bank, filters.EvidenceFilter(account_id="ACC-001"), limit=1, total="of")
     assert [r.of for r in found.collect()] == [2]
     with pytest.raises(ValueError, match="timestamp"):

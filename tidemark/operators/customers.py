@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.paging import page
+from tidemark.functions.stored import stored
 from tidemark.operators.filters import in_risk_band
 
 
@@ -110,8 +111,10 @@ def customer_page(df: DataFrame, alerts: DataFrame | None = None, *, search: str
         ends = ends.where(_named("account_id", search))
     counts = ends.groupBy("account_id").agg(F.count("*").alias("_busy"))
     order = (F.col("max_risk").desc_nulls_last(), F.col("_busy").desc(), F.col("account_id"))
-    shown = page(in_risk_band(_with_alerts(counts, alerts), band), list(order),
-                 limit=limit, offset=offset, total=total)
+    ranked = in_risk_band(_with_alerts(counts, alerts), band)
+    if total is not None:  # read twice, and the alert table may be costly
+        ranked = stored(ranked)
+    shown = page(ranked, list(order), limit=limit, offset=offset, total=total)
     kept = [c for c in shown.columns if c != "account_id"]
     rows = legs(df).join(F.broadcast(shown), "account_id")
     per_partner = (_sums(rows.groupBy("account_id", *kept, "counterparty", "bank"))
