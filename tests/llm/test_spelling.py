@@ -83,3 +83,19 @@ def test_roots_take_as_many_rounds_as_a_chain_needs(spark):
     assert all(v[1] == chain[-1] for v in got.values()) and got == plain_groups(n)
     with pytest.raises(ValueError):
         spelling.group(spark.createDataFrame([], "word string, n long"), 1)
+
+
+def test_no_table_of_words_is_broadcast(spark, monkeypatch):
+    """Spark sizes exploded neighbourhoods like the words they came from, and would send them through the driver."""
+    plans, keep = [], spelling.keep
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df)
+
+    monkeypatch.setattr(spelling, "keep", kept)
+    n = {"aaaaaaa" + "b" * i: 5 * 5**i for i in range(8)}
+    df = spelling.group(spark.createDataFrame(list(n.items()), "word string, n long"))
+    plans.append(df._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) == 5 and not any("Broadcast" in p for p in plans)
+    assert told(df) == plain_groups(n)

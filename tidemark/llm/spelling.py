@@ -8,7 +8,9 @@ is, and the alphabet grows with the eighth root of the vocabulary, so that a red
 many there are. Of a neighbourhood only what does not sort below the form itself is sent: each pair meets once.
 
 Everything is DataFrame work: occurrences are combined before their shuffle, a pair of words is a row,
-and no list of words is gathered anywhere. A form has at least ``ratio`` times its word's occurrences, so
+and no list of words is gathered anywhere. Joins are by shuffle: Spark sizes an exploded neighbourhood like the
+single row it came from, and a table of words by its compressed file, so it would broadcast tables of any number of rows
+(0.5 GB of documents: over 500 MB of neighbourhoods on the driver). A form has at least ``ratio`` times its word's occurrences, so
 the way to the root takes at most log(largest count) steps, which are doubled in each round.
 
 Null and empty texts have no words; a null id counts as an empty one. An empty table gives an empty
@@ -84,7 +86,7 @@ def near_pairs(vocabulary: DataFrame, symbols: int) -> DataFrame:
     sent = (own.select("word", "n", "form", F.explode(neighbourhood(F.col("form"), symbols)).alias("meets"))
             .where("meets >= form").select("word", "n", "meets", (F.col("meets") == F.col("form")).alias("same")))
     other = own.select(F.col("word").alias("near"), F.col("n").alias("near_n"), F.col("form").alias("meets"))
-    return (sent.join(other, "meets")
+    return (sent.join(other.hint("merge"), "meets")
             .where((~F.col("same") | (F.col("word") < F.col("near"))) & (F.levenshtein("word", "near", 1) == 1))
             .select("word", "n", "near", "near_n"))
 
@@ -112,7 +114,7 @@ def group(vocabulary: DataFrame, ratio: int = RATIO, symbols: int | None = None)
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
         F.when(enough, F.col("best.near")).alias("form"), F.when(enough, -F.col("best.less")).alias("form_n")))
     root = roots(formed.where("form is not null").select("word", "form"), size["low"], size["high"], ratio)
-    return formed.join(root, "word", "left").select(
+    return formed.join(root.hint("merge"), "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
 
 
@@ -122,7 +124,7 @@ def roots(forms: DataFrame, low: int | None, high: int | None, ratio: int) -> Da
     reach = forms.select("word", F.col("form").alias("root"))
     for _ in range(math.ceil(math.log2(max(steps, 1)) + 1e-9)):
         on = reach.select(F.col("word").alias("root"), F.col("root").alias("further"))
-        reach = keep(reach.join(on, "root", "left").select("word", F.coalesce("further", "root").alias("root")))
+        reach = keep(reach.join(on.hint("merge"), "root", "left").select("word", F.coalesce("further", "root").alias("root")))
     return reach
 
 
