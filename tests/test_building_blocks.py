@@ -141,6 +141,24 @@ def test_overlap_totals_equal_brute_force(spark, monkeypatch):
     assert {r[0]: tuple(r[1:]) for r in overlap.overlap_totals(one, two, 2).collect()} == want
 
 
+def test_blocks_grow_before_there_are_more_of_them(spark, monkeypatch):
+    """What is shuffled follows the number of blocks: 60 sets are not sent 12 times where larger blocks hold them."""
+    import pyarrow as pa
+
+    def one(group):
+        yield pa.RecordBatch.from_arrays([pa.array([group.a.size])], names=["n"])
+
+    sets = {f"s{i:02d}": {"HOT", "HOT2", f"t{i % 7}"} for i in range(60)}
+    df = spark.createDataFrame([(s, t) for s, ts in sets.items() for t in ts], "set_id string, token string")
+    want = {(a, b): len(sets[a] & sets[b]) for a, b in combinations(sorted(sets), 2)}
+    for most, entries, blocks in ((30, 1_000, 4), (10, 1_000, 6), (30, 20, 9), (1, 1, 12)):
+        for name, value in (("BLOCK", 5), ("FEW", 4), ("MOST", most), ("ENTRIES", entries)):
+            monkeypatch.setattr(overlap, name, value)
+        assert overlap._met(df, None, 2, one, "n long").count() <= blocks * (blocks + 1) // 2
+        assert {(r.a, r.b): r.shared for r in overlapping_pairs(df, None, 2).collect()} == want
+    assert [overlap._blocks(n, 0) for n in (0, 1, 5, 6)] == [1, 1, 1, 2]
+
+
 @pytest.mark.parametrize("cells, dense", [(4_000_000, 512), (7, 2), (50, 0)])
 def test_products_of_blocks_equal_the_plain_product(monkeypatch, cells, dense):
     import numpy as np
